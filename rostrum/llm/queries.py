@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import chat, licenses, quality
+from rostrum.llm import chat, decontam, langid, licenses, packing, pieces, quality, simhash, tokens, warc
+from rostrum.llm.storage import shared_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +31,60 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    made = warc.read(spark, path)
+    return made.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = langid.predict(rows.select("doc_id", "text"), langid.learn(rows))
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return said.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "lossless")
+
+
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = written(packing.pack(table(spark, sf_dir, "documents")), "packed")
+    return packing.segments(packed).withColumn("ids_xxh64", F.xxhash64("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
+    "op6_simhash_components": op6_simhash_components,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_packing": op10_token_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, sha256(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
+        f as (select *, case when n >= 100 then min(page_id) over (partition by d) else page_id end as first from p)
+        select page_id, n::bigint as payload_bytes, d as payload_digest,
+            case when page_id > first then 'revisit' else 'response' end as record_type,
+            case when page_id > first then first end as refers_to
+        from f""",
+}
