@@ -175,3 +175,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out.withColumn("similarity", 1 - F.col("edit_distance") / F.col("item_words"))
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``documents`` in which no item is found."""
+    for block in blocks(benchmark):
+        sent = documents.sparkSession.sparkContext.broadcast(Items(block, similarity))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not (text and hits_of(sent.value, text)) for text in batch.column("text").to_pylist()], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

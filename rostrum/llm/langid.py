@@ -116,3 +116,16 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
     rest = documents.drop("lang_pred", "score")
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rest.mapInArrow(run, schema)
+
+
+def confident(documents: DataFrame, model: dict, least: float) -> DataFrame:
+    """The rows of ``documents`` whose text has a language with a score of ``least`` or more."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            said = map(scorer.text, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

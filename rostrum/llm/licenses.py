@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.columns import aside, restored
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
@@ -153,7 +155,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     (label, start, end, rank, rule), words from 0 and end excluded.  Columns of these names are replaced."""
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    df = documents.drop(*made).withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_text"))
+    df = aside(documents, text).withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_low", F.lower("_text"))
     gate = F.col("_low").contains("cc") & F.col("_low").rlike(CC_GATE)
     for g in GATES[::-1]:
         gate = F.col("_low").contains(g) | gate
@@ -173,9 +175,10 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     more = F.coalesce(F.transform("_kept", lambda h: h["label"]), F.array().cast("array<string>"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     best = F.array_min(F.transform("_kept", lambda h: h["rank"]))
-    return df.withColumns({
+    df = df.withColumns({
         "n_base": F.size(starts).cast("long"), "first_word": F.array_min(starts).cast("long"), "last_word": F.array_max(starts).cast("long"),
         "base_labels": joined(names), "labels": joined(F.concat(names, more)),
         "score": F.coalesce((4 - best) / 4.0, F.when(F.size(starts) > 0, F.lit(0.5)), F.lit(0.0)),
         "detections": F.coalesce(F.transform("_kept", lambda h: F.struct(h["label"].alias("label"), h["start"].alias("start"), (-h["minus_end"]).alias("end"), h["rank"].alias("rank"), h["rule"].alias("rule"))), F.array().cast("array<struct<label:string,start:int,end:int,rank:int,rule:int>>")),
-    }).drop("_text", "_low", "_line", "_live", "_hits", "_kept", *[f"_b{k}" for k in range(len(BASE))])
+    })
+    return restored(df, documents, made)
