@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,14 @@ from rostrum.llm.simhash import mixed
 
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY, STRIDE = 0.8, 4
-#: Walks, LSH keys of each and sampled places of a key: a window with a fifth of its words edited meets its item in one of the keys
-#: with a probability measured in tests; windows at several words of a passage add to it.
-WALKS, KEYS, SAMPLED = 3, 8, 3
-SIZES = (2, 4, 8, 16, 32)
-#: Words of the benchmark that are searched for at a time; so much is sent to the executors.
-AT_A_TIME = 200_000
+#: Walks, LSH keys of each and sampled places of a key.  Recall of passages with a fifth of their words edited is measured in tests.
+WALKS, KEYS, SAMPLED = 3, 8, 4
+#: Size classes: an item's windows have the largest that leaves room for all its starts.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+#: Words of the benchmark that are searched for at a time, which bounds what is sent to the executors; words of documents looked at
+#: at once.
+AT_A_TIME, AT_ONCE = 200_000, 400_000
+LOW = np.uint64((1 << 20) - 1)
 
 
 class Items:
@@ -43,31 +47,38 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words])
         self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
-        shortest = min(map(len, self.words), default=STRIDE)
-        self.stride = max(1, min(STRIDE, shortest - 1))
-        self.size = [max([s for s in SIZES if s <= max(1, len(w) - self.stride + 1)], default=1) for w in self.words]
+        self.stride = max(1, min([STRIDE, *(len(w) - 1 for w in self.words)]))
+        self.size = [max(s for s in SIZES if s <= max(1, len(w) - self.stride + 1)) for w in self.words]
         self.masks = [{} for _ in self.words]
         for m, words in zip(self.masks, self.words):
             for i, s in enumerate(words):
                 m[s] = m.get(s, 0) | 1 << i
-        self.sizes = sorted(set(self.size))
-        self.tables = {s: self.table(s) for s in self.sizes}
-
-    def table(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of all items of a size class; the item and the word that each window starts at."""
-        keys, item, start = [], [], []
+        in_items = np.bincount([s for w in self.words for s in set(w)], minlength=len(self.symbol) + 1)
+        #: words of few items; of these, a window that matches has as many as the item's window, but for one an edit
+        self.rare = (in_items > 0) & (in_items <= max(2, len(self.words) // 50))
+        self.tables = {size: self.table(size) for size in sorted(set(self.size))}
+
+    def table(self, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """The fewest rare words and words of items of a match; which low bits of keys occur; sorted keys, and the item and word at which
+        each key's window starts."""
+        keys, item, start, least = [], [], [], size
+        most = max(m for m, s in zip(self.most, self.size) if s == size)
         for k, words in enumerate(self.words):
             if self.size[k] == size:
-                at = np.arange(min(self.stride, len(words)))
-                for key in lsh_keys(np.array(words, np.int64), at, size):
+                code, at = np.array(words, np.int64), np.arange(min(self.stride, len(words)))
+                least = min(least, *(int(self.rare[code[a : a + size]].sum()) - self.most[k] for a in at))
+                for key in lsh_keys(code, at, size):
                     keys.append(key)
                     item.append(np.full(len(at), k))
                     start.append(at)
         key, item, start = (np.concatenate(x) for x in (keys, item, start))
         order = np.argsort(key, kind="stable")
-        return key[order], item[order], start[order]
+        there = np.zeros(LOW + 1, bool)
+        there[key & LOW] = True
+        return least, size - most, there, key[order], item[order], start[order]
 
 
+@cache
 def sampled_places(size: int, walk: int) -> np.ndarray:
     """KEYS x SAMPLED steps of a walk over ``size`` words, in increasing order."""
     steps = max(1, size * 2 - size // 2)
@@ -76,19 +87,20 @@ def sampled_places(size: int, walk: int) -> np.ndarray:
 
 def lsh_keys(words: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The LSH keys of the CGK embeddings of the windows at ``at``: an array for each key, a number for each window."""
-    padded = np.concatenate([words, np.zeros(size, np.int64)])
+    padded = np.concatenate([words, np.zeros(size + 1, np.int64)])
+    end = np.minimum(at + size, len(words))
+    symbols = np.arange(int(words.max(initial=0)) + 1, dtype=np.uint64)
     for walk in range(WALKS):
         places = sampled_places(size, walk)
-        moves = mixed(padded.astype(np.uint64), 100 + walk)  # bit j: the move after step j on this symbol
+        moves = [mixed(symbols, 100 + walk + 1000 * k) for k in range(int(places.max()) // 64 + 1)]  # bit j: the move after step j
         key = [np.full(len(at), k * 1000 + walk * 10, np.uint64) for k in range(KEYS)]
         i = at.copy()
         for j in range(int(places.max()) + 1):
-            inside = i < at + size
-            symbol = np.where(inside, padded[i], -1)
-            for k in np.flatnonzero((places == j).any(axis=1)):
+            symbol = padded[i]
+            for k in range(KEYS):
                 for _ in range(int((places[k] == j).sum())):
-                    key[k] = mixed(key[k] ^ symbol.astype(np.uint64), j + 1)
-            i = i + (inside & ((moves[i] >> np.uint64(j & 63)) & np.uint64(1)).astype(bool))
+                    key[k] = mixed(key[k] ^ np.where(i < end, symbol, len(symbols) + 7).astype(np.uint64), j + 1)
+            i = np.minimum(i + ((moves[j // 64][symbol] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64), end)
         yield from key
 
 
@@ -112,35 +124,52 @@ def best_match(mask: dict[int, int], n: int, words: list[int]) -> tuple[int, int
     return best, end
 
 
-def hits_of(items: Items, text: str) -> list[tuple[int, int, int, int]]:
-    """(item_id, the word at which the passage ends, edit distance, words of the item) of each item found in the text."""
-    get = items.symbol.get
-    words = [get(w, 0) for w in WORD.findall(text.lower())]
-    code = np.array(words, np.int64)
+def hits(items: Items, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
+    """For each text the items found in it: index of the item -> (edit distance, the word at which the passage ends)."""
+    codes = [np.fromiter(map(items.symbol.get, words := WORD.findall((t or "").lower()), repeat(0)), np.int64, len(words)) for t in texts]
+    found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    start = n = 0
+    for k, code in enumerate(codes):
+        n += len(code)
+        if n >= AT_ONCE or k == len(codes) - 1:
+            _search(items, codes[start : k + 1], found[start : k + 1])
+            start, n = k + 1, 0
+    return found
+
+
+def _search(items: Items, codes: list[np.ndarray], found: list[dict[int, tuple[int, int]]]) -> None:
+    size = np.array([len(c) for c in codes], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    code = np.concatenate(codes)
+    rare = np.concatenate([[0], np.cumsum(items.rare[code])])
+    text_of = np.repeat(np.arange(len(codes)), size)
+    place = np.arange(len(code)) - first[:-1][text_of]
+    every = np.flatnonzero(place % items.stride == 0)
+    tried: set[tuple[int, int, int]] = set()
     known = np.concatenate([[0], np.cumsum(code > 0)])
-    found: dict[int, tuple[int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    for size in items.sizes:
-        at = np.arange(0, len(code), items.stride)
-        # of an item's window at most 2/5 of the words, and one, are edited: the rest are words of the benchmark
-        at = at[known[np.minimum(at + size, len(code))] - known[at] >= size - (2 * size + 4) // 5 - 1]
+    for width, (least, least_known, there, keys, item, begin) in items.tables.items():
+        after = np.minimum(every + width, len(code))
+        at = every[(rare[after] - rare[every] >= least) & (known[after] - known[every] >= least_known)]
         if not len(at):
             continue
-        keys, item, start = items.tables[size]
-        for key in lsh_keys(code, at, size):
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            for w in np.flatnonzero(hi > lo).tolist():
-                for e in range(int(lo[w]), int(hi[w])):
-                    k, first = int(item[e]), int(at[w]) - int(start[e])
-                    if k in found and found[k][1] == 0 or (k, first) in tried:
+        for key in lsh_keys(code, at, width):
+            met = np.flatnonzero(there[key & LOW])
+            for w, e in zip(met.tolist(), np.searchsorted(keys, key[met]).tolist()):
+                text, mine = int(text_of[at[w]]), int(place[at[w]])
+                while e < len(keys) and keys[e] == key[w]:
+                    k, from_ = int(item[e]), mine - int(begin[e])
+                    e += 1
+                    if found[text].get(k, (1, 0))[0] == 0 or (text, k, from_) in tried:
                         continue
-                    tried.add((k, first))
+                    tried.add((text, k, from_))
                     n, most = len(items.words[k]), items.most[k]
-                    a = max(0, first - most)
-                    d, end = best_match(items.masks[k], n, words[a : first + n + most])
-                    if d <= most and (k not in found or (d, a + end) < found[k][::-1]):
-                        found[k] = a + end, d
-    return [(items.ids[k], end, d, len(items.words[k])) for k, (end, d) in sorted(found.items())]
+                    a = max(0, from_ - most)
+                    passage = codes[text][a : from_ + n + most].tolist()
+                    if sum(map(items.masks[k].__contains__, passage)) < n - most:
+                        continue
+                    d, end = best_match(items.masks[k], n, passage)
+                    if d <= most and (k not in found[text] or (d, a + end) < found[text][k]):
+                        found[text][k] = d, a + end
 
 
 def blocks(benchmark: DataFrame, at_a_time: int = AT_A_TIME) -> Iterator[list[tuple[int, str | None]]]:
@@ -168,7 +197,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
-                found = [(i, *hit) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if text for hit in hits_of(items, text)]
+                said = hits(items, batch.column("text").to_pylist())
+                found = [(i, items.ids[k], end, d, len(items.words[k])) for i, h in zip(batch.column("doc_id").to_pylist(), said) for k, (d, end) in sorted(h.items())]
                 kinds = [batch.schema.field("doc_id").type, pa.from_numpy_dtype(np.int64), pa.int32(), pa.int32(), pa.int32()]
                 kinds[1] = {"int": pa.int32(), "string": pa.string()}.get(ids[1], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "end_word", "edit_distance", "item_words"])
@@ -184,7 +214,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not (text and hits_of(sent.value, text)) for text in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not h for h in hits(sent.value, batch.column("text").to_pylist())], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents
