@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import tokens
+from rostrum.llm.worker import held
 
 LENGTH, BLOCK, BATCH = 2048, 4_000_000, 512
 
@@ -104,14 +105,14 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, bl
     kind = documents.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(sent.value)
+        encode = held("encoder", sent.value, lambda: Encoder(sent.value))
         width, task, blocks = encode.kind.itemsize, TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
+        waiting: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            rows = best_fit_decreasing([len(x[2]) // width for x in held], length)
+            rows = best_fit_decreasing([len(x[2]) // width for x in waiting], length)
             for i in range(0, len(rows), BATCH):
-                part = [[held[k] for k in row] for row in rows[i : i + BATCH]]
+                part = [[waiting[k] for k in row] for row in rows[i : i + BATCH]]
                 ends = [np.cumsum([0, *(len(x[2]) // width for x in row)]).tolist() for row in part]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([f"{task}-{blocks}-{i + k}" for k in range(len(part))]),
@@ -127,12 +128,12 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, bl
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text or "")
                 for p, at in enumerate(range(0, max(len(ids), 1), length * width)):
-                    held.append((doc_id, p, ids[at : at + length * width]))
-                    n += len(held[-1][2]) // width
+                    waiting.append((doc_id, p, ids[at : at + length * width]))
+                    n += len(waiting[-1][2]) // width
                     if n >= block:
                         yield from done()
-                        held, n, blocks = [], 0, blocks + 1
-        if held:
+                        waiting, n, blocks = [], 0, blocks + 1
+        if waiting:
             yield from done()
 
     return documents.select("doc_id", "text").mapInArrow(run, ROW.format(id=kind.simpleString()))
