@@ -10,17 +10,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
@@ -68,10 +69,9 @@ def prompt_text(clean_text: Column, raw_text: Column) -> Column:
 
 def time_class(c: Column) -> Column:
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), "MISSING")
-        .when(F.lower(F.trim(c)) == "unknown", "UNKNOWN")
-        .when(c.rlike(r"^([01]?\d|2[0-3]):[0-5]\d:[0-5]\d$"), "HH:MM:SS")
-        .when(c.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$"), "HH:MM")
+        F.when(c.isNull() | c.isin("", "unknown"), "MISSING_OR_UNKNOWN")
+        .when(c.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), "HH:MM:SS")
+        .when(c.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), "HH:MM")
         .otherwise("MALFORMED")
     )
 
@@ -79,12 +79,11 @@ def time_class(c: Column) -> Column:
 def time_of(c: Column) -> Column:
     """``HH:mm:ss`` of a well-formed time, else null."""
     kind = time_class(c)
-    padded = F.when(F.length(F.split(c, ":")[0]) == 1, F.concat(F.lit("0"), c)).otherwise(c)
-    return F.when(kind == "HH:MM:SS", padded).when(kind == "HH:MM", F.concat(padded, F.lit(":00")))
+    return F.when(kind == "HH:MM:SS", c).when(kind == "HH:MM", F.concat(c, F.lit(":00")))
 
 
 def integer_warning(c: Column, field: str) -> Column:
-    return F.when(c.isNull() | (F.trim(c) == ""), f"{field}_MISSING").when(~c.rlike(r"^\d+$"), f"{field}_MALFORMED")
+    return F.when(c.isNull() | (c == ""), f"{field}_MISSING").when(~c.rlike(r"^\d+$"), f"{field}_MALFORMED")
 
 
 def url_warning(c: Column, marker: str) -> Column:

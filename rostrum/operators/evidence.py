@@ -11,9 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points taken for a single quote, a double quote and a hyphen.
-SINGLE, DOUBLE, HYPHEN = "‘’‚‛′", "“”„‟″", "‐‑‒–—―−﹘﹣－"
+SINGLE = "\u2018\u2019\u201a\u201b`\u00b4"
+DOUBLE = "\u201c\u201d\u201e\u201f"
+HYPHEN = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
 FOLD = str.maketrans(dict.fromkeys(SINGLE, "'") | dict.fromkeys(DOUBLE, '"') | dict.fromkeys(HYPHEN, "-"))
 
 
@@ -45,7 +48,10 @@ def aligned(text: str | None, quote: str | None) -> tuple[str, int | None, int |
     return "matched", places[at], places[at + len(wanted) - 1] + 1
 
 
-@F.pandas_udf("struct<status:string,start_offset:int,end_offset:int>")
+ALIGNED = T.StructType([T.StructField("status", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())])
+
+
+@F.pandas_udf(ALIGNED)
 def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for text, quote in batches:
         rows = [aligned(t, q) for t, q in zip(text, quote, strict=True)]
