@@ -27,7 +27,7 @@ from rostrum.llm.simhash import mixed
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY, STRIDE = 0.8, 4
 #: Walks, LSH keys of each and sampled places of a key.  Recall of passages with a fifth of their words edited is measured in tests.
-WALKS, KEYS, SAMPLED = 3, 8, 4
+WALKS, KEYS, SAMPLED = 4, 9, 4
 #: Size classes: an item's windows have the largest that leaves room for all its starts.
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Words of the benchmark that are searched for at a time, which bounds what is sent to the executors; words of documents looked at

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.worker import held
+
 #: Characters of a chunk and of an overlap at first; pre-tokens that a worker remembers.
 CHUNK, OVERLAP, REMEMBERED = 65_536, 256, 1_000_000
 #: The pre-token rule of the public byte-level BPE vocabulary (a fixed value).
@@ -102,7 +104,7 @@ def count_tokens(documents: DataFrame, path: str | None = None, limit: int = 102
     sent = documents.sparkSession.sparkContext.broadcast(definition(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(sent.value)
+        count = held("counter", sent.value, lambda: Counter(sent.value))
         for batch in batches:
             n = [count(text) if text else 0 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
