@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import keys, text
@@ -226,12 +226,8 @@ def business(df: DataFrame, mapping: DataFrame, heading: str = "major") -> DataF
 def audit(rows: DataFrame) -> DataFrame:
     """(measure, value, n): elements, talk types and time formats over all files."""
     a = lambda k: F.col("attributes")[k]
-    pairs = F.array(
-        F.struct(F.lit("tag").alias("measure"), F.col("tag").alias("value")), F.struct(F.lit("talktype"), F.when(F.col("tag") == SPEECH, F.coalesce(a("talktype"), F.lit("")))),
-        F.struct(F.lit("time"), F.when(F.col("tag") == SPEECH, text.time_class(a("time")))), F.struct(F.lit("error"), F.col("error")),
-    )
+    spoken = lambda c: F.when(F.col("tag") == SPEECH, c)
+    values = {"tag": F.col("tag"), "talktype": spoken(F.coalesce(a("talktype"), F.lit(""))), "time": spoken(text.time_class(a("time"))), "error": F.col("error")}
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in values.items()])
     return rows.select(F.inline(pairs)).filter("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
 
-
-def flag(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))

@@ -20,7 +20,8 @@ def csv_frame(spark: SparkSession, path: str, columns: list[str], required: list
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the text of bad lines."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", f"{schema}, _bad string", options).alias("r")).select("r.*")
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
