@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 LEARN, WORDS, GRAMS, LONGEST = 20_000, 60_000, 20_000, 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words that a worker remembers the score of.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def held_out() -> Column:

@@ -25,7 +25,7 @@ from rostrum.llm.simhash import mixed
 
 ALPHA, SEED = 1.0, 7
 #: Characters sampled at once, ends of pieces that a worker's tables hold, and the longest unit that is remembered.
-AT_ONCE, PLACES, LONG = 1_000_000, 3_000_000, 64
+AT_ONCE, PLACES, LONG = 1_000_000, 1_000_000, 64
 #: Log weight of spelling out a character that is no piece.
 FALLBACK = -20.0
 SPACE, OWN_MARK = "▁", "\udc81"  # what stands for a space, and for U+2581 itself while a text is cut up
