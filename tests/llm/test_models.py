@@ -263,6 +263,16 @@ def test_components_of_a_path(spark):
     assert len(rows) == 61 and {bytes(r.root) for r in rows} == {b"\0"}
 
 
+def test_large_shards_are_cut(spark):
+    rng = random.Random(11)
+    prints = sorted({rng.randrange(1 << 12) << 50 | rng.choice([0, 1 << 3]) for _ in range(300)})
+    nodes = spark.createDataFrame([(n.to_bytes(8, "big"), [1, 2]) for n in prints], "fingerprint binary, keys array<long>")
+    cut = simhash.sharded(nodes, largest=40).groupBy("shard").agg(F.collect_set("fingerprint").alias("f")).collect()
+    assert len(cut) > 20
+    met = {(a, b) for r in cut for a in map(bytes, r.f) for b in map(bytes, r.f)}
+    assert len(met) == len(prints) ** 2
+
+
 def test_near_copies_stay_once(spark):
     rng = random.Random(9)
     pool = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
