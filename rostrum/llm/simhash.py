@@ -25,7 +25,7 @@ from rostrum.llm.storage import settled
 
 SEED = 42
 #: Rows of whole shards that a task gathers before it builds their trees, and pairs it looks at at once.
-GATHER, FRONTIER = 200_000, 2_000_000
+GATHER, FRONTIER = 100_000, 1_000_000
 #: A shard of more nodes is cut into blocks of about so many; each pair of blocks is then a shard.
 LARGEST = 50_000
 MASK = (1 << 64) - 1
@@ -102,8 +102,9 @@ def signatures(documents: DataFrame, shingle: int, radius: int, words: int = 1,
     return rows.mapInArrow(sign, f"doc_id {kind}, fingerprint binary, keys array<bigint>")
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+def distance(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the items a and b, word by word, so that no copy of whole fingerprints is made."""
+    return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,11 +126,11 @@ class Forest:
     """The BK-trees of many shards at once.  prints: n x words of 64 bits; root: each item's shard's first item."""
 
     def __init__(self, prints: np.ndarray, root: np.ndarray):
-        self.prints, self.root = prints, root
+        self.words, self.root = [np.ascontiguousarray(w) for w in prints.T], root
         at, left = root.copy(), np.flatnonzero(root != np.arange(len(root)))
         parents, kids = [], []
         while len(left):
-            key = at[left] * 1024 + distance(prints[left], prints[at[left]])
+            key = at[left] * 1024 + distance(self.words, left, at[left])
             found, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             parents.append(found)
             kids.append(left[first])
@@ -143,7 +144,7 @@ class Forest:
         """Pairs (asked item, other item of its shard) within the radius."""
         q, node, left, right = asked, self.root[asked], [], []
         while len(q):
-            d = distance(self.prints[q], self.prints[node])
+            d = distance(self.words, q, node)
             near = (d <= radius) & (q != node)
             left.append(q[near])
             right.append(node[near])
