@@ -9,7 +9,9 @@ A null text is empty; an empty text has one segment of length 0.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from rostrum.llm import tokens
 from rostrum.llm.worker import held
 
-LENGTH, BLOCK, BATCH = 2048, 4_000_000, 512
+LENGTH, BLOCK, BATCH, PART = 2048, 4_000_000, 512, 65_536
 
 
 class RoomTree:
@@ -74,26 +76,40 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Encoder:
-    """Ids of a text, as bytes: each distinct pre-token is encoded once and remembered."""
+    """Ids of a text, as bytes, by byte-level BPE.  Special strings in a text are ordinary text.
 
-    def __init__(self, definition: str):
-        self.tokenizer = tokens.load(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {}
+    Long texts are encoded in parts, cut where a pre-token starts whatever surrounds it (see tokens.py), or after ``part`` characters
+    if there is no such place; any cut decodes to the same text.
+    """
 
-    def new(self, part: str) -> bytes:
-        if len(self.memory) >= tokens.REMEMBERED:
-            self.memory.clear()
-        ids = self.memory[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
-        return ids
+    def __init__(self, ranks: str, part: int = PART):
+        import tiktoken
+
+        table = {base64.b64decode(token): int(rank) for token, rank in map(str.split, ranks.splitlines())}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=tokens.PRETOKEN.pattern, mergeable_ranks=table, special_tokens={})
+        self.kind, self.part = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4"), part
+
+    def parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.part:
+            cut = next((m.start() for m in tokens.BOUNDARY.finditer(text, at + self.part // 2, at + self.part)), at + self.part)
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
 
     def __call__(self, text: str) -> bytes:
-        parts = tokens.PRETOKEN.findall(text)
-        return b"".join(ids if ids is not None else self.new(p) for p, ids in zip(parts, map(self.memory.get, parts)))
+        return b"".join(np.array(self.bpe.encode_ordinary(p), self.kind).tobytes() for p in self.parts(text))
 
     def decode(self, ids: bytes) -> str:
-        return self.tokenizer.decode(np.frombuffer(ids, self.kind).tolist(), skip_special_tokens=False)
+        return self.bpe.decode_bytes(np.frombuffer(ids, self.kind).tolist()).decode()
+
+
+def ranks_file(path: str | None = None) -> str:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return Path(path).read_text()
 
 
 ROW = "row string, ids binary, id_bytes int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{id}>, pieces array<int>"
@@ -101,7 +117,7 @@ ROW = "row string, ids binary, id_bytes int, cu_seqlens array<int>, position_res
 
 def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """Packed rows: row (its name), ids, id_bytes (bytes of an id), cu_seqlens, position_resets, and doc_ids and pieces by segment."""
-    sent = documents.sparkSession.sparkContext.broadcast(tokens.definition(path))
+    sent = documents.sparkSession.sparkContext.broadcast(ranks_file(path))
     kind = documents.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
