@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 LEARN, WORDS, GRAMS, LONGEST = 20_000, 60_000, 20_000, 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words that a worker remembers the score of.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 def held_out() -> Column:
@@ -67,26 +67,42 @@ def learn(documents: DataFrame, learn_from: int = LEARN, words: int = WORDS, gra
 
 
 class Scorer:
-    """Scores of words under a model, with the unseen ones remembered."""
+    """Scores of words under a model: rows of one array, those of known words first, then those of unseen words met so far."""
 
     def __init__(self, model: dict):
-        self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
-        self.memory: dict[str, np.ndarray] = {}
+        self.langs, self.known = model["langs"], [*model["words"]]
+        self.rows = np.zeros((len(self.known) + REMEMBERED, len(self.langs)), np.float32)
+        if self.known:
+            self.rows[: len(self.known)] = [*model["words"].values()]
+        self.grams = [{g: tuple(map(float, v)) for g, v in table.items()} for table in model["grams"]]
+        self.forget()
 
-    def unseen(self, word: str) -> np.ndarray:
+    def forget(self) -> None:
+        self.row = {word: i for i, word in enumerate(self.known)}
+
+    def unseen(self, word: str) -> list[float]:
         for size in range(len(self.grams), 0, -1):
             padded, table = f"^{word}$" if size > 1 else word, self.grams[size - 1]
-            found = [v for i in range(len(padded) - size + 1) if (v := table.get(padded[i : i + size])) is not None]
+            found = [v for k in range(len(padded) - size + 1) if (v := table.get(padded[k : k + size])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
-    def word(self, word: str) -> np.ndarray:
-        if (v := self.known.get(word)) is None and (v := self.memory.get(word)) is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            v = self.memory[word] = self.unseen(word)
-        return v
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [0.0] * len(self.langs)
+
+    def indexes(self, words: list[str]) -> list[int]:
+        """The rows of the words; unseen ones get one."""
+        at = [*map(self.row.get, words)]
+        if None not in at:
+            return at
+        new = dict.fromkeys(w for w, i in zip(words, at) if i is None)
+        if len(self.row) + len(new) > len(self.rows):
+            self.forget()
+            new = dict.fromkeys(w for w in words if w not in self.row)
+        if short := max(0, len(self.row) + len(new) - len(self.rows)):
+            self.rows = np.concatenate([self.rows, np.zeros((short, len(self.langs)), np.float32)])
+        first = len(self.row)
+        self.rows[first : first + len(new)] = [*map(self.unseen, new)]
+        self.row.update(zip(new, range(first, first + len(new))))
+        return [*map(self.row.__getitem__, words)]
 
     def text(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
@@ -94,7 +110,7 @@ class Scorer:
             words = [w for w in ("".join(filter(str.isalpha, w)) for w in words) if w]
         if not words or not self.langs:
             return "und", 0.0
-        total = np.add.reduce([*map(self.word, words)], axis=0)
+        total = self.rows[self.indexes(words)].sum(axis=0, dtype=np.float64)
         # a posterior of a text as if it had the square root of its words: those of a text aren't independent
         z = (total - total.max()) / math.sqrt(len(words))
         k = int(total.argmax())
