@@ -193,6 +193,19 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.located(rows, "text", "quote").select("doc_id", "status")
 
 
+@query()
+def evidence_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents, four quotes from a hashed place: as it stands, with other quotes, dashes and white space, from the start,
+    and one that does not stand in the text.  SQL can't keep the offsets, so this has none; ``evidence_spans`` is the part that it can follow."""
+    t = F.coalesce("text", F.lit(""))
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(t) - 40, F.lit(1))).cast("int") + 1
+    taken = F.substring(t, place, F.lit(40))
+    other = F.regexp_replace(F.translate(taken, "'\"-\u2019\u201c\u2013", "\u2019\u201d\u2014`\"-"), r"(?U)\s+", " \n\u00a0")
+    quotes = F.array(taken, other, F.substring(t, 1, 40), F.concat(taken, F.lit("~no such words~")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(quotes).alias("quote_no", "quote"))
+    return evidence.located(rows, "text", "quote").select("doc_id", "quote_no", "quote", "status", "start_offset", "end_offset")
+
+
 @query("""with c as (select event_id % 40 as campaign, count(*) filter (where event_type = 'purchase') as collected, count(*) filter (where event_type = 'error') as failed, count(*) as records,
     coalesce(sum(case when event_type = 'purchase' then value end), 0) as spent from events group by 1)
     select campaign, collected, failed, records, round(spent, 4) as spent, records - collected - failed as open from c""")
