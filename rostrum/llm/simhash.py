@@ -12,7 +12,7 @@ Null texts are empty; a text without words has fingerprint zero.  A null doc_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.storage import settled
+from rostrum.llm.storage import settled, written
 
 SEED = 42
 #: Rows of whole shards that a task gathers before it builds their trees, and pairs it looks at at once.
@@ -175,32 +175,25 @@ def shard_edges(prints: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.
 
 
 def sharded(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(shard, fingerprint) for rows (fingerprint, keys).  Shards of over ``largest`` nodes are dealt out by pairs of blocks, so that
+    """(shard, fingerprint) and what else the rows hold, for rows (fingerprint, keys).  Shards of over ``largest`` nodes are dealt out by pairs of blocks, so that
     any two of their nodes still meet and no task gets all of them."""
-    rows = nodes.select(F.explode("keys").alias("shard"), "fingerprint")
+    rest = [c for c in nodes.columns if c != "keys"]
+    rows = nodes.select(F.explode("keys").alias("shard"), *rest)
     large = rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > largest)
     large = settled(large.select("shard", F.ceil(F.col("n") / largest).alias("blocks")))
     if large.isEmpty():
         return rows
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64("node" if "node" in rest else "fingerprint"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("shard", F.least(mine, k), F.greatest(mine, k)))
     cut = rows.join(large, "shard", "left")
-    return cut.select(F.explode(F.when(F.col("blocks").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "fingerprint")
+    return cut.select(F.explode(F.when(F.col("blocks").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), *rest)
 
 
-def edges(nodes: DataFrame, radius: int) -> DataFrame:
-    """Of rows (fingerprint, keys): edges (u, v), u > v, whose components are those of all links."""
+def whole_shards(done: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by shard: ``done`` of about GATHER rows at once, no shard of them cut."""
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            raw = table.column("fingerprint").to_pylist()
-            prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
-            a, b = shard_edges(prints, table.column("shard").to_numpy(), radius)
-            pairs = [(max(raw[i], raw[j]), min(raw[i], raw[j])) for i, j in zip(a.tolist(), b.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
-
         for batch in batches:
             held.append(batch)
             if sum(x.num_rows for x in held) >= GATHER:
@@ -213,8 +206,21 @@ def edges(nodes: DataFrame, radius: int) -> DataFrame:
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield done(table)
 
+    return run
+
+
+def edges(nodes: DataFrame, radius: int) -> DataFrame:
+    """Of rows (fingerprint, keys): edges (u, v), u > v, whose components are those of all links."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        raw = table.column("fingerprint").to_pylist()
+        prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+        a, b = shard_edges(prints, table.column("shard").to_numpy(), radius)
+        pairs = [(max(raw[i], raw[j]), min(raw[i], raw[j])) for i, j in zip(a.tolist(), b.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
+
     rows = sharded(nodes).repartition("shard").sortWithinPartitions("shard", "fingerprint")
-    return rows.mapInArrow(link, "u binary, v binary").filter("u > v").distinct()
+    return rows.mapInArrow(whole_shards(done), "u binary, v binary").filter("u > v").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -249,14 +255,142 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, radius: int = 2, wor
     return signed.select("doc_id", "fingerprint").join(found, "fingerprint", "left").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: For texts of which at least 0.8 of the five-word shingles are shared: such pairs share a band with a probability over 0.999, and
-#: their 512-bit fingerprints differ in 78 bits on average, with a deviation of 8.
-NEAR = {"shingle": 5, "radius": 96, "words": 8, "bands": (16, 4)}
+#: For texts of which at least 0.8 of the distinct five-word shingles are shared: such pairs share a band with a probability over
+#: 0.999, and their 512-bit fingerprints differ in 78 bits on average, with a deviation of 8; in 96 with five shingles and four of them.
+#: The fingerprints only find candidates; the decision is the shingles' own similarity.
+NEAR = {"shingle": 5, "radius": 120, "words": 8, "bands": (16, 4)}
+#: Least similarity of near copies, in tenths, so that it is compared in whole numbers.
+TENTHS = 8
+#: A node's candidates are looked at so many times more in each round.
+MORE = 4
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_signatures(documents: DataFrame, shingle: int, words: int, bands: tuple[int, int]) -> DataFrame:
+    """doc_id, node (128 bits of the text's set of shingles), fingerprint and keys of that set."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                h = shingle_set(text, shingle)
+                nodes.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
+                prints.append(fingerprint(h, words))
+                keys.append(band_keys(h, *bands))
+            made = [pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "node", "fingerprint", "keys"])
+
+    rows = documents.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(sign, f"doc_id {kind}, node binary, fingerprint binary, keys array<bigint>")
+
+
+def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles: each text's set of shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(text, shingle) for text in batch.column("text").to_pylist()]
+            nodes = [xxhash.xxh3_128_digest(h.tobytes(), SEED) for h in made]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([h.astype(np.int64) for h in made], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return documents.select("text").mapInArrow(sets, "node binary, shingles array<bigint>")
+
+
+def _heads(ids: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each id, which tell those of one task apart."""
+    return np.frombuffer(b"".join(i[:8] for i in ids), np.uint64)
+
+
+def candidates(nodes: DataFrame, radius: int, most: int) -> DataFrame:
+    """(u, v): for each node (node, fingerprint, keys, label, tried) the ``most`` nearest within the radius that have another label
+    and are not among ``tried``."""
+
+    def nearest(table: pa.Table) -> pa.RecordBatch:
+        raw, ids = table.column("fingerprint").to_pylist(), table.column("node").to_pylist()
+        prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+        head, label = _heads(ids), _heads(table.column("label").to_pylist())
+        pair = lambda a, b: mixed(mixed(a, 1) + b, 2)
+        tried = table.column("tried").to_pylist()
+        seen = pair(np.repeat(head, [len(t) for t in tried]), _heads([i for t in tried for i in t]))
+        shard = table.column("shard").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        size = np.diff(np.append(start, len(shard)))
+        root, size = np.repeat(start, size), np.repeat(size, size)
+        some = np.flatnonzero(size > 1)
+        left, right, apart = [], [], []
+        if len(some):
+            forest = Forest(prints, root)
+            part = np.cumsum(size[some]) // FRONTIER
+            for asked in np.split(some, np.flatnonzero(part[1:] != part[:-1]) + 1):
+                a, b = forest.links(asked, radius)
+                new = label[a] != label[b]
+                a, b = a[new], b[new]
+                if len(seen):
+                    new = ~np.isin(pair(head[a], head[b]), seen)
+                    a, b = a[new], b[new]
+                d = distance(forest.words, a, b)
+                order = np.lexsort((head[b], d, a))
+                a, b, d = a[order], b[order], d[order]
+                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
+                few = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < most
+                left += a[few].tolist()
+                right += b[few].tolist()
+                apart += d[few].tolist()
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in left], pa.binary()), pa.array([ids[i] for i in right], pa.binary()), pa.array(apart, pa.int32())], ["u", "v", "d"])
+
+    rows = sharded(nodes).repartition("shard").sortWithinPartitions("shard", "fingerprint")
+    found = rows.mapInArrow(whole_shards(nearest), "u binary, v binary, d int")
+    few = found.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "v"))), 1, most).alias("_f"))
+    return few.select("u", F.explode("_f.v").alias("v"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, tenths: int = TENTHS) -> DataFrame:
+    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least so many tenths."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in ("u", "v"))
+    sized = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("_u", "_v")).alias("both"), (F.size("_u") + F.size("_v")).alias("all"))
+    return sized.filter(10 * F.col("both") >= tenths * (F.col("all") - F.col("both"))).select("u", "v")
+
+
+def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, bands: tuple[int, int]) -> DataFrame:
+    """doc_id, component_id of every row: the smallest doc_id of all that pairs of a similarity of at least 0.8 reach from it.
+
+    Texts of the same shingles are one node.  In each round a node looks at its nearest candidates that no pair has joined it with
+    yet and that it has not looked at, one in the first round and four times as many in each further one, until none is left.  So
+    every candidate is either checked or already in the same component, and the pairs of a large group are not all written out.
+    """
+    signed = settled(set_signatures(documents, shingle, words, bands))
+    nodes = signed.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.min("doc_id").alias("id"))
+    left = nodes.select("node", "fingerprint", "keys", F.col("node").alias("label"), F.array().cast("array<binary>").alias("tried"))
+    sets, roots, most = None, None, 1
+    while True:
+        asked = settled(candidates(left, radius, most))
+        if asked.isEmpty():
+            break
+        mine = asked.groupBy("u").agg(F.collect_list("v").alias("_v")).withColumnRenamed("u", "node")
+        if sets is None:
+            ids = nodes.join(mine, "node", "left_semi").select(F.col("id").alias("doc_id"))
+            sets = written(shingle_sets(documents.join(ids, "doc_id", "left_semi"), shingle).join(mine, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        pairs = similar(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets)
+        pairs = settled(pairs)
+        if roots is None or not pairs.isEmpty():
+            roots = settled(components(pairs if roots is None else pairs.union(roots.filter("node > root"))))
+        left = left.drop("label").join(mine, "node").join(roots, "node", "left")
+        left = settled(left.select("node", "fingerprint", "keys", F.coalesce("root", "node").alias("label"), F.concat("tried", "_v").alias("tried")))
+        most *= MORE
+    placed = signed.select("doc_id", "node").withColumn("root", F.col("node"))
+    if roots is not None:
+        placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "root").select("doc_id", "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with one row, that of the smallest doc_id, for each group of near duplicates.  Rows without a doc_id stay."""
-    found = settled(near_duplicates(documents, **NEAR).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    found = settled(near_copies(documents.filter("doc_id is not null"), **NEAR).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     kept = documents.join(found.select("doc_id"), "doc_id", "left_semi").select(documents.columns)
     if not found.filter("n > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["doc_id", "text"])

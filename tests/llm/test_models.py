@@ -292,3 +292,41 @@ def test_near_copies_stay_once(spark):
     rows += [(n, None), (n + 1, ""), (None, "no id"), (0, rows[0][1])]
     kept = simhash.one_of_each(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, fingerprint string")).collect()
     assert len([r for r in kept if r.doc_id is not None and r.doc_id < n]) == 40 and sum(r.doc_id is None for r in kept) == 1
+
+
+def jaccard(a, b):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_are_exact(spark):
+    """Pairs on both sides of 0.8, families of a hub and chains, against all pairs."""
+    rng = random.Random(24)
+    pool = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    texts = []
+    for g in range(80):
+        length = 24 if g % 2 else 204
+        words = rng.choices(pool, k=length)
+        texts.append(" ".join(words))
+        for _ in range(1 + 5 * (g % 8 < 2)):  # a changed tail: similarities from 0.6 to 0.95
+            n = rng.randrange(1, length // 4)
+            texts.append(" ".join([*words[:-n], *rng.choices(pool, k=n)]))
+    root = [*range(len(texts))]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = jaccard(texts[i], texts[j])
+            near += 0.65 < s < 0.8
+            if s >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert near > 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, **simhash.NEAR).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
