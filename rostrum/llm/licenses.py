@@ -16,9 +16,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: A text without any of these has no detection; CC_GATE stands for cc as a word.
-GATES = ("licen", "copyright", "spdx", "public domain", "rights reserved", "hereby granted", "redistribution", "warrant", "creativecommons", "unlicense")
-CC_GATE = r"(?<![0-9a-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|zero|0)"
+#: A text without any of these has no detection; CC_GATE stands for cc at a word's start.  They are looked for in the raw text, so each
+#: is of one word: what is between words there can be anything.
+GATES = ("licen", "copyright", "spdx", "domain", "reserved", "permission", "redistribution", "warrant", "creativecommons")
+CC_GATE = r"(?<![0-9a-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]*(?:by|zero|0)"
 
 VERSION = r"(?: (?:version |v )?\d+(?: \d+){0,2})?(?: (?:or|and) (?:any )?later(?: version)?)?"
 UNDER = r"(?:licensed|released|distributed|available|published|provided|covered|governed) (?:to you )?(?:by|under) (?:the )?(?:terms of (?:the )?)?"
@@ -63,7 +64,7 @@ FAMILIES = {
     "cecill": ("cecill", r"cecill(?: [bc])?(?: free software)? licen[cs]e", r"cecill(?: [bc])?(?: \d(?: \d)?)?"),
     "wtfpl": ("want to public", r"do what the \S+ you want to public licen[cs]e", r"wtfpl"),
     "unlicense": ("unlicense", r"(?:the )?unlicense", r"unlicense"),
-    "ncsa": ("ncsa", r"(?:university of illinois )?(?:ncsa )?open source licen[cs]e", r"ncsa"),
+    "ncsa": ("open source", r"(?:university of illinois (?:ncsa )?|ncsa )open source licen[cs]e", r"ncsa"),
     "qpl": ("q public", r"q public licen[cs]e", r"qpl(?: \d(?: \d)?)?"),
     "sleepycat": ("sleepycat", r"sleepycat(?: public)? licen[cs]e", r"sleepycat"),
     "vim": ("vim", r"vim licen[cs]e", r"vim"),
@@ -84,7 +85,7 @@ FAMILIES = {
 #: (label, keyword, regex, rank): what no family name covers.
 OTHERS = [
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose", 0),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 0),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0),
     ("zlib", "implied warranty", r"this software is provided as is without any express or implied warranty in no event", 0),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain", 1),

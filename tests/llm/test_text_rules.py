@@ -52,6 +52,37 @@ def test_license_rules(odd):
     assert len(licenses.rules()) > 300
 
 
+def example(parsed):
+    """The shortest text of a regex, of its first branches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, what = arg[0]
+            out += chr(what) if str(kind) == "LITERAL" else "1" if str(what) == "CATEGORY_DIGIT" else "w"
+        elif op == "BRANCH":
+            out += example(arg[1][0])
+        elif op == "SUBPATTERN":
+            out += example(arg[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            out += arg[0] * example(arg[2])
+    return out
+
+
+def test_every_rule_passes_the_gate(spark):
+    rows = [(label, rank, example(re._parser.parse(regex))) for label, _, regex, rank in licenses.rules()]
+    assert all(re.fullmatch(r[2], x[2]) for r, x in zip(licenses.rules(), rows))
+    rows += [("public-domain", 1, "placed in the public domain"), ("all-rights-reserved", 3, "All rights reserved"), ("cc0", 2, "released under CC0 1.0"), ("cc0", 2, "CCZero"), ("ncsa", 2, "University of Illinois Open Source License")]
+    rows += [("mit", 0, "permission is hereby granted free of charge to any person obtaining a copy of this software")]
+    texts = [(label, rank, x.replace(" ", by)) for label, rank, x in rows for by in (" ", "\n", "  ", "\n# ", "\n * ")]
+    for r in licenses.scan(spark.createDataFrame(texts, "label string, rank int, text string").withColumnRenamed("label", "want")).collect():
+        assert r.score >= (4 - r.rank) / 4 and r.want in r.labels.split(","), r
+    assert "ncsa" not in licenses.scan(spark.createDataFrame([("an open source license",)], "text string")).first().labels
+
+
 def test_suppression_is_containment(spark):
     rng = random.Random(3)
     for _ in range(5):
