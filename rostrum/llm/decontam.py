@@ -2,12 +2,17 @@
 
 Words are runs of letters and digits, in lower case; those of no benchmark item are one symbol.  The CGK walk writes the symbol at
 its place, then moves on by one or stays, as a random function of step and symbol says; it is the same for all texts, so strings
-at a small edit distance get embeddings at a small Hamming distance.  LSH samples places of the embedding.  Windows of the
-documents start at every ``STRIDE``-th word and are as long as the item's size class; an item's windows start at its first
-``STRIDE`` words, so that one of them lines up with one of the document.  Where keys meet, the edit distance of the whole item to
-the passage is computed exactly, and up to (1 - ``SIMILARITY``) of the item's words is a hit.
+at a small edit distance get embeddings at a small Hamming distance.  LSH samples places of the embedding.
 
-Null and empty texts, and items without words, have no hit.  Repeated rows each give theirs.
+Hamming distances of embeddings grow with the square of the edits, so long items are looked up by parts: an item of over
+``LONGEST`` words is cut into parts of nearly equal length that cover it, none of more words than that.  Of a passage within
+(1 - ``SIMILARITY``) times the item's words, some part has no more than its own share of the edits.  Windows are of the part's size
+class; a part's windows start at its first words, and those of documents at every ``stride``-th word, so that one lines up.  Where
+keys meet, the edit distance of the whole item to the passage is computed exactly, and up to its share of edits is a hit.
+
+Null and empty texts, and items without words, have no hit.  Repeated rows each give theirs.  A window that runs over its text's end
+reads a symbol of its own there, so what is found in a text depends on that text alone.  Long texts are read as a whole by one
+task; the work in them is in proportion to their words.
 """
 
 from __future__ import annotations
@@ -28,16 +33,20 @@ WORD = re.compile(r"[^\W_]+")
 SIMILARITY, STRIDE = 0.8, 4
 #: Walks, LSH keys of each and sampled places of a key.  Recall of passages with a fifth of their words edited is measured in tests.
 WALKS, KEYS, SAMPLED = 4, 9, 4
-#: Size classes: an item's windows have the largest that leaves room for all its starts.
-SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+#: Words of a part at most.
+LONGEST = 32
+#: Size classes: a part's windows have the largest that leaves room for all its starts.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Words of the benchmark that are searched for at a time, which bounds what is sent to the executors; words of documents looked at
 #: at once.
 AT_A_TIME, AT_ONCE = 200_000, 400_000
 LOW = np.uint64((1 << 20) - 1)
+#: The symbol past a text's end; words are numbered from 1, and 0 is a word of no item.
+PAST = np.uint64(1 << 63)
 
 
 class Items:
-    """Benchmark items as symbols, with the sorted LSH keys of their windows.  rows: (item_id, text)."""
+    """Benchmark items as symbols, with the sorted LSH keys of their parts' windows.  rows: (item_id, text)."""
 
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY):
         self.symbol: dict[str, int] = {}
@@ -46,36 +55,40 @@ class Items:
             if words := WORD.findall((text or "").lower()):
                 self.ids.append(item_id)
                 self.words.append([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words])
-        self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
-        self.stride = max(1, min([STRIDE, *(len(w) - 1 for w in self.words)]))
-        self.size = [max(s for s in SIZES if s <= max(1, len(w) - self.stride + 1)) for w in self.words]
+        share = lambda n: int((1 - similarity) * n + 1e-9)
+        self.most = [share(len(w)) for w in self.words]
         self.masks = [{} for _ in self.words]
         for m, words in zip(self.masks, self.words):
             for i, s in enumerate(words):
                 m[s] = m.get(s, 0) | 1 << i
         in_items = np.bincount([s for w in self.words for s in set(w)], minlength=len(self.symbol) + 1)
-        #: words of few items; of these, a window that matches has as many as the item's window, but for one an edit
+        #: words of few items; of these, a window that matches has as many as the part's window, but for one an edit
         self.rare = (in_items > 0) & (in_items <= max(2, len(self.words) // 50))
-        self.tables = {size: self.table(size) for size in sorted(set(self.size))}
-
-    def table(self, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for k, words in enumerate(self.words):
+            n = -(-len(words) // LONGEST)
+            for a, b in ((len(words) * i // n, len(words) * (i + 1) // n) for i in range(n)):
+                stride = max(1, min(STRIDE, b - a - 1))
+                size = max(s for s in SIZES if s <= b - a - stride + 1)
+                parts.setdefault((size, stride), []).append((k, a, b, share(b - a)))
+        self.tables = {at: self.table(*at, parts[at]) for at in sorted(parts)}
+
+    def table(self, size: int, stride: int, parts: list[tuple[int, int, int, int]]) -> tuple:
         """The fewest rare words and words of items of a match; which low bits of keys occur; sorted keys, and the item and word at which
-        each key's window starts."""
+        each key's window starts.  parts: (item, its first word and its last's next, most edits)."""
         keys, item, start, least = [], [], [], size
-        most = max(m for m, s in zip(self.most, self.size) if s == size)
-        for k, words in enumerate(self.words):
-            if self.size[k] == size:
-                code, at = np.array(words, np.int64), np.arange(min(self.stride, len(words)))
-                least = min(least, *(int(self.rare[code[a : a + size]].sum()) - self.most[k] for a in at))
-                for key in lsh_keys(code, at, size):
-                    keys.append(key)
-                    item.append(np.full(len(at), k))
-                    start.append(at)
+        for k, a, b, most in parts:
+            code, at = np.array(self.words[k], np.int64), a + np.arange(stride)
+            least = min(least, *(int(self.rare[code[i : i + size]].sum()) - most for i in at))
+            for key in lsh_keys(code, at, at + size, size):
+                keys.append(key)
+                item.append(np.full(len(at), k))
+                start.append(at)
         key, item, start = (np.concatenate(x) for x in (keys, item, start))
         order = np.argsort(key, kind="stable")
         there = np.zeros(LOW + 1, bool)
         there[key & LOW] = True
-        return least, size - most, there, key[order], item[order], start[order]
+        return least, size - max(p[3] for p in parts), there, key[order], item[order], start[order]
 
 
 @cache
@@ -85,10 +98,10 @@ def sampled_places(size: int, walk: int) -> np.ndarray:
     return np.sort(np.random.default_rng([size, walk]).integers(0, steps, (KEYS, SAMPLED)), axis=1)
 
 
-def lsh_keys(words: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The LSH keys of the CGK embeddings of the windows at ``at``: an array for each key, a number for each window."""
-    padded = np.concatenate([words, np.zeros(size + 1, np.int64)])
-    end = np.minimum(at + size, len(words))
+def lsh_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The LSH keys of the CGK embeddings of the windows from ``at`` to ``end``, of ``size`` words or, at a text's end, fewer: an array
+    for each key, a number for each window."""
+    padded = np.append(words, 0)
     symbols = np.arange(int(words.max(initial=0)) + 1, dtype=np.uint64)
     for walk in range(WALKS):
         places = sampled_places(size, walk)
@@ -99,7 +112,7 @@ def lsh_keys(words: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarra
             symbol = padded[i]
             for k in range(KEYS):
                 for _ in range(int((places[k] == j).sum())):
-                    key[k] = mixed(key[k] ^ np.where(i < end, symbol, len(symbols) + 7).astype(np.uint64), j + 1)
+                    key[k] = mixed(key[k] ^ np.where(i < end, symbol.astype(np.uint64), PAST), j + 1)
             i = np.minimum(i + ((moves[j // 64][symbol] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64), end)
         yield from key
 
@@ -143,28 +156,31 @@ def _search(items: Items, codes: list[np.ndarray], found: list[dict[int, tuple[i
     code = np.concatenate(codes)
     rare = np.concatenate([[0], np.cumsum(items.rare[code])])
     text_of = np.repeat(np.arange(len(codes)), size)
-    place = np.arange(len(code)) - first[:-1][text_of]
-    every = np.flatnonzero(place % items.stride == 0)
-    tried: set[tuple[int, int, int]] = set()
+    place, stop = np.arange(len(code)) - first[:-1][text_of], first[1:][text_of]
+    tried: dict[tuple[int, int], list[int]] = {}
     known = np.concatenate([[0], np.cumsum(code > 0)])
-    for width, (least, least_known, there, keys, item, begin) in items.tables.items():
-        after = np.minimum(every + width, len(code))
-        at = every[(rare[after] - rare[every] >= least) & (known[after] - known[every] >= least_known)]
+    for (width, stride), (least, least_known, there, keys, item, begin) in items.tables.items():
+        every = np.flatnonzero(place % stride == 0)
+        after = np.minimum(every + width, stop[every])
+        some = (rare[after] - rare[every] >= least) & (known[after] - known[every] >= least_known)
+        at, after = every[some], after[some]
         if not len(at):
             continue
-        for key in lsh_keys(code, at, width):
+        for key in lsh_keys(code, at, after, width):
             met = np.flatnonzero(there[key & LOW])
             for w, e in zip(met.tolist(), np.searchsorted(keys, key[met]).tolist()):
                 text, mine = int(text_of[at[w]]), int(place[at[w]])
                 while e < len(keys) and keys[e] == key[w]:
                     k, from_ = int(item[e]), mine - int(begin[e])
                     e += 1
-                    if found[text].get(k, (1, 0))[0] == 0 or (text, k, from_) in tried:
-                        continue
-                    tried.add((text, k, from_))
                     n, most = len(items.words[k]), items.most[k]
-                    a = max(0, from_ - most)
-                    passage = codes[text][a : from_ + n + most].tolist()
+                    near = most // 2  # a passage looked at is so much longer at both ends that starts this near need no other look
+                    before = tried.setdefault((text, k), [])
+                    if found[text].get(k, (1, 0))[0] == 0 or any(abs(x - from_) <= near for x in before):
+                        continue
+                    before.append(from_)
+                    a = max(0, from_ - most - near)
+                    passage = codes[text][a : max(0, from_ + n + most + near)].tolist()
                     if sum(map(items.masks[k].__contains__, passage)) < n - most:
                         continue
                     d, end = best_match(items.masks[k], n, passage)
