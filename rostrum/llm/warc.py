@@ -6,7 +6,8 @@ on past the range's end to finish the last.  A false magic inside compressed byt
 further.
 
 Writing makes a file per task, under a name of its own per attempt; the driver's commit lists the files of the attempts that
-counted, and only those are read.  So a lost executor leaves at most a file that nobody reads.
+counted in a list of its own, and only files of such lists are read.  So a lost executor leaves at most a file that nobody reads,
+and a second write to a path adds to the first.
 
 Paths are what pyarrow.fs opens: shared local folders, hdfs://, s3://, gs://.
 """
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-MAGIC, AHEAD, LISTED = b"\x1f\x8b\x08", 1 << 20, "_committed.json"
+from rostrum.llm.storage import written
+
+MAGIC, AHEAD, STEP, LISTED = b"\x1f\x8b\x08", 1 << 20, 1 << 15, "_committed-"
 SPLIT, LEVEL, ROWS, BYTES = 32 << 20, 4, 512, 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 COLUMNS = ["file", "start", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"]
@@ -66,44 +69,45 @@ def record(content: bytes) -> tuple[dict[str, str], bytes] | None:
 
 def members(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(place, headers, block) of the records that start in [start, end)."""
-    held, base, at = b"", start, start
+    held, base = bytearray(), start  # what is read and not yet passed, and the place of its first byte
     file.seek(start)
 
     def more() -> bool:
-        nonlocal held
         got = file.read(AHEAD)
-        held += got
+        held.extend(got)
         return bool(got)
 
-    while at < end:
-        i = held.find(MAGIC, at - base)
+    def passed(n: int) -> None:
+        nonlocal base
+        del held[:n]
+        base += n
+
+    while base < end:
+        i = held.find(MAGIC)
         if i < 0:
-            at = max(at, base + len(held) - 2)
-            held, base = held[at - base :], at
-            if at >= end or not more():
+            passed(max(0, len(held) - 2))
+            if base >= end or not more():
                 return
             continue
-        at = base + i
-        if at >= end:
+        passed(i)
+        if base >= end:
             return
-        held, base = held[i:], at
-        inflate, out, used = zlib.decompressobj(31), [], 0
+        inflate, out, used = zlib.decompressobj(31), bytearray(), 0
         try:
-            while not inflate.eof:
+            while not inflate.eof and b"WARC/1."[: len(out)] == out[:7]:
                 if used == len(held) and not more():
                     break
-                out.append(inflate.decompress(held[used:]))
-                used = len(held)
-                if not (b"".join(out)[:7] if len(out) < 4 else b"WARC/1.").startswith(b"WARC/1."[: sum(map(len, out[:4]))]):
-                    break
+                given = bytes(held[used : used + STEP])
+                out += inflate.decompress(given)
+                used += len(given)
         except zlib.error:
             pass
-        found = record(b"".join(out)) if inflate.eof else None
+        found = record(bytes(out)) if inflate.eof else None
         if found is None:
-            at += 1
+            passed(1)
         else:
-            yield at, *found
-            at = base + used - len(inflate.unused_data)
+            yield base, *found
+            passed(used - len(inflate.unused_data))
 
 
 class Range(InputPartition):
@@ -118,8 +122,8 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         store, root = opened(self.path)
         found = {x.path: x.size for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File}
-        listed = next((p for p in found if p.endswith("/" + LISTED)), None)
-        names = [f"{root}/{n}" for n in json.loads(store.open_input_file(listed).read())] if listed else sorted(p for p in found if p.endswith(".warc.gz"))
+        lists = sorted(p for p in found if p.rpartition("/")[2].startswith(LISTED))
+        names = [f"{root}/{n}" for p in lists for n in json.loads(store.open_input_file(p).read())] if lists else sorted(p for p in found if p.endswith(".warc.gz"))
         return [Range(p, a, min(a + self.split, found[p])) for p in names for a in range(0, found[p], self.split)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -172,7 +176,7 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{LISTED}", compression=None) as out:
+        with store.open_output_stream(f"{root}/{LISTED}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(m.name for m in messages if m is not None and m.name)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -205,12 +209,16 @@ def register(spark: SparkSession) -> None:
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Records to write for rows (page_id, url, html).  Null html is empty.  Of equal payloads of at least ``least`` bytes, that of the
-    smallest page_id is the response and those of larger or null ids revisit it; all rows of the smallest id are responses."""
+    smallest page_id is the response and those of larger or null ids revisit it; all rows of the smallest id are responses.
+
+    The digests that occur twice are written first, from ids and digests alone, so Spark knows the size of their table: payloads are
+    only shuffled where it is too large to be broadcast, and then a hot digest's rows are split, as the join is a left one.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     same = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(same, "payload_digest", "left")
+    rows = rows.join(written(same, "repeated"), "payload_digest", "left")
     again = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") <= F.col("first"), F.lit(False))
     named = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     return rows.select(

@@ -49,6 +49,23 @@ def test_false_magic(tmp_path, split):
     assert found == [4, 4 + len(stored), len(whole) - len(stored) - 2]
 
 
+def test_second_write_adds(spark, tmp_path):
+    rows = [(k, f"http://{k}", str(k) * 50 * k) for k in range(9)]
+    for part in (rows[:5], rows[5:]):
+        warc.archive(spark.createDataFrame(part, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: r.payload_bytes for r in warc.read(spark, str(tmp_path / "w")).withColumn("page_id", warc.page_of("record_id")).collect()}
+    assert got == {k: len(h) for k, _, h in rows}
+
+
+def test_record_over_many_reads(tmp_path):
+    payload = b"".join(hashlib.sha256(b"%d" % k).digest() for k in range(150_000))
+    whole = b"".join(warc.member("response", f"urn:page:{k}", None, None, "0", p, len(p)) for k, p in enumerate([b"a", payload, b"b"]))
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    file = fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz"))
+    half = len(whole) // 2
+    assert [b.partition(b"\r\n\r\n")[2] for a, e in ((0, half), (half, len(whole))) for _, _, b in warc.members(file, a, e)] == [b"a", payload, b"b"]
+
+
 def test_empty(spark, tmp_path):
     warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read(spark, str(tmp_path / "w")).count() == 0
