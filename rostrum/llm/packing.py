@@ -4,7 +4,7 @@ Texts are encoded, those over the row length cut into pieces, and the pieces of
 longest first, each into the row with the least room that takes it, found with a segment tree over room sizes.  A block is what
 one task reads until it has ``block`` tokens, so memory is bounded and no text is shuffled.  A row holds ``length`` ids
 (little-endian, unused places 0), the cumulative lengths of its segments and the places where positions start at 0 again.
-A null text is empty; an empty text has one segment of length 0.
+A null text is empty; an empty text has one segment of length 0.  Repeated rows each have their segments.
 """
 
 from __future__ import annotations
@@ -78,8 +78,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 class Encoder:
     """Ids of a text, as bytes, by byte-level BPE.  Special strings in a text are ordinary text.
 
-    Long texts are encoded in parts, cut where a pre-token starts whatever surrounds it (see tokens.py), or after ``part`` characters
-    if there is no such place; any cut decodes to the same text.
+    Texts of over ``part`` characters are encoded in parts, cut only where a pre-token starts whatever surrounds it (see tokens.py), so
+    ids are those of the whole text.  A part goes on to the next such place, however far that is.
     """
 
     def __init__(self, ranks: str, part: int = PART):
@@ -92,9 +92,11 @@ class Encoder:
     def parts(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > self.part:
-            cut = next((m.start() for m in tokens.BOUNDARY.finditer(text, at + self.part // 2, at + self.part)), at + self.part)
-            yield text[at:cut]
-            at = cut
+            cut = tokens.BOUNDARY.search(text, at + self.part)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
         yield text[at:]
 
     def __call__(self, text: str) -> bytes:

@@ -134,6 +134,14 @@ def test_packing(spark, odd, documents):
         assert encode.decode(joined) == (ts[0] if len(ts) == 1 else "".join(ts)), i
 
 
+def test_ids_of_long_texts_are_those_of_the_whole():
+    small, whole = packing.Encoder(packing.ranks_file(), part=40), packing.Encoder(packing.ranks_file(), part=1 << 30)
+    rng = random.Random(4)
+    parts = ["word", " ", "  ", "\n", "é", "12", "'s", "!", "<|endoftext|>", "梦", "x" * 70, "=" * 90, "\t", "ab cd"]
+    texts = ["".join(rng.choices(parts, k=120)) for _ in range(60)] + ["梦é" * 200, "a" * 500, "-" * 500 + " b"]
+    assert all(small(t) == whole(t) for t in texts) and max(len([*small.parts(t)]) for t in texts) > 5
+
+
 def test_best_fit_decreasing():
     rng = random.Random(5)
     for cap in (1, 7, 64):
