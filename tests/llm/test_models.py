@@ -39,11 +39,60 @@ def test_language_odd(spark, odd, documents):
 
 
 def test_language_backs_off():
-    logs = lambda *p: np.log(np.array(p))
-    model = {"langs": ["x", "y"], "words": {"known": logs(0.9, 0.1)}, "grams": [{"a": logs(0.2, 0.8)}, {"^q": logs(0.7, 0.3)}, {}, {}]}
+    logs = lambda **p: ([*p], np.log(np.array([*p.values()]).reshape(-1, 2)))
+    model = {"langs": ["x", "y"], "words": logs(known=(0.9, 0.1)), "grams": [logs(a=(0.2, 0.8)), (["^q"], np.log([[0.7, 0.3]])), logs(), logs()]}
     s = langid.Scorer(model)
     assert s.text("known")[0] == "x" and s.text("zaz")[0] == "y" and s.text("qzz")[0] == "x"
-    assert np.allclose(s.unseen("qa"), logs(0.7, 0.3)) and np.allclose(s.unseen("zzz"), 0)
+    assert np.allclose(s.unseen("qa"), np.log([0.7, 0.3])) and np.allclose(s.unseen("zzz"), 0)
+
+
+def plain_language(texts, learned, words, grams):
+    """The same by plain counts: languages and scores of texts after learning from (lang, text)."""
+    langs = sorted({x for x, _ in learned})
+    split = lambda t: ["".join(c for c in w if c.isalpha()) for w in "".join(c if c.isalpha() or c.isnumeric() and not c.isdigit() and not c.isdecimal() else " " for c in t.lower()).split()]
+    grams_in = lambda w, k: [w] if k == 0 else [*w] if k == 1 else [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+    tables = []
+    for k in range(5):
+        count = {}
+        for lang, t in learned:
+            for w in filter(None, split(t)):
+                for g in grams_in(w, k):
+                    count.setdefault(g, dict.fromkeys(langs, 0))[lang] += 1
+        most = (words if k == 0 else grams) // len(langs)
+        known = {g for x in langs for g in sorted((g for g in count if count[g][x]), key=lambda g: (-count[g][x], g))[:most]}
+        tables.append({g: [np.log((count[g][x] + 0.5) / (sum(count[h][x] for h in known) + 0.5 * len(known))) for x in langs] for g in known})
+    out = []
+    for t in texts:
+        said, total = [w for w in split(t) if w], np.zeros(len(langs))
+        for w in said:
+            for k in (0, 4, 3, 2, 1):
+                if found := [tables[k][g] for g in grams_in(w, k) if g in tables[k]]:
+                    total += np.mean(found, axis=0)
+                    break
+        z = np.exp((total - total.max()) / max(1, len(said)) ** 0.5)
+        out.append((langs[int(total.argmax())], 1 / z.sum()) if said else ("und", 0.0))
+    return out
+
+
+def test_language_against_plain_counts(spark):
+    pool = {"x": ["the", "house", "a" * 60, "über", "day"], "y": ["le", "maison", "été", "jour", "the"], "rare": ["dom", "dzień"]}
+    rng = random.Random(6)
+    rows = [(k, lang, " ".join(rng.choices(pool[lang], k=12))) for k, lang in enumerate(["x"] * 40 + ["y"] * 40 + ["rare"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.learn(docs, words=9, grams=60)
+    assert model["langs"] == ["rare", "x", "y"]
+    ids = {r.doc_id for r in docs.filter(~langid.held_out()).collect()}
+    texts = ["the house", "maisons d'été", "dom dzień domy", "a" * 59, "12 ½", "", "the the le le", "zzz qqq", "Ünter"]
+    want = plain_language(texts, [(lang, t) for k, lang, t in rows if k in ids], 9, 60)
+    got = [(r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1), model).collect()]
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-4
+
+
+def test_language_sample_does_not_vanish(spark):
+    docs = spark.range(200_000).selectExpr("id as doc_id", "'t' as text", "case when id < 5 then 'rare' else 'common' end as lang")
+    n = {r.lang: r["count"] for r in langid.sample(docs, 40).groupBy("lang").count().collect()}
+    assert 15 < n["common"] < 80 and n["rare"] >= 2
 
 
 def test_token_counts(spark, odd, documents):
