@@ -23,7 +23,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.formatted(rows.unionByName(more)))
+    return chat.read_back(chat.examples(rows.unionByName(more), whole=True))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

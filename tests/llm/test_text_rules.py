@@ -137,30 +137,39 @@ TURNS = [
 ]
 
 
+def in_order(turns):
+    by = {}
+    for conv, turn, role, text in sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
+        by.setdefault(conv, []).append((role or "", text or ""))
+    return by
+
+
 def test_chat_round_trip(spark):
-    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
-    made = chat.formatted(df)
+    many = [(9, k, ("user", "assistant", "tool")[k % 3], f"say {k} <|end|>\\") for k in range(200)]
+    made = chat.examples(spark.createDataFrame(TURNS + many, "conv_id long, turn long, role string, text string"), whole=True)
     for r in made.collect():
         for control in ("</s>", "[INST]", "[/INST]", "<<SYS>>", "<s>"):
-            assert control not in r.formatted
+            assert control not in r.text
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
-    for conv in {t[0] for t in TURNS}:
-        rows = sorted([t for t in TURNS if t[0] == conv], key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
-        said = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in rows)
-        loss = "".join(t or "" for _, _, r, t in rows if r == "assistant")
-        assert got[conv].n_turns == len(rows)
+    want = in_order(TURNS + many)
+    assert set(got) == set(want)
+    for conv, rows in want.items():
+        said, loss = "".join(f"{r}\n{t}\n" for r, t in rows), "".join(t for r, t in rows if r == "assistant")
+        assert got[conv].n_turns == len(rows) and got[conv].n_examples == sum(r == "assistant" for r, _ in rows)
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_chat_examples(spark):
-    turns = chat.turns(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
-    whole = {r.conv_id: r.formatted for r in chat.formatted(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")).collect()}
-    rows = chat.examples(turns, render=True).collect()
-    assert len(rows) == sum(t[2] == "assistant" for t in TURNS)
+    """Each example read back by plain Python: all turns before as context, only the reply trained on."""
+    rows = chat.examples(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")).collect()
+    plain = lambda s: re.sub(r"\\(\\)?", lambda m: m[1] or "", s)
+    want = in_order(TURNS)
+    assert sorted((str(r.conv_id), r.target) for r in rows) == sorted((str(c), k + 1) for c, ts in want.items() for k, t in enumerate(ts) if t[0] == "assistant")
     for r in rows:
-        assert whole[r.conv_id].startswith(r.text) and r.text.endswith("<|end|>\n")
-        assert r.text[r.loss_start + r.loss_chars :] == "<|end|>\n" and r.text[: r.context_chars].count("<|turn|>") == r.target - 1
+        read = [(plain(a), plain(b)) for a, b in re.findall(r"(?s)<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", r.text)]
+        assert read == want[r.conv_id][: r.target]
+        assert plain(r.text[r.loss_start : r.loss_start + r.loss_chars]) == want[r.conv_id][r.target - 1][1] and r.text[r.loss_start + r.loss_chars :] == "<|end|>\n"
 
 
 @pytest.mark.parametrize("seed", range(3))
