@@ -2,7 +2,8 @@
 
 Words are runs of digits, a-z and characters from U+0080 on, A-Z lower-cased.  A rule is a regex over the words joined by
 single spaces; it runs only where the rule's keyword occurs.  Of detections, one that lies within another of the same or a
-higher rank is dropped; those that only overlap both stay.  A null text is empty; it has no detection and a score of 0.
+higher rank is dropped; those that only overlap both stay.  Of equal spans the higher rank stays, then the earlier rule.  A null
+text is empty; it has no detection and a score of 0.  Repeated rows each get their result.  A text's detections are held by its row.
 """
 
 from __future__ import annotations
@@ -82,15 +83,174 @@ FAMILIES = {
     "cc0": ("cc", r"cc ?(?:0|zero)", r"cc0(?: \d \d)?"),
     "creative-commons": ("creative commons", r"creative commons(?: (?:attribution|zero|share ?alike|non ?commercial|no ?deriv\w*))*(?: \d \d)?(?: \w+)? licen[cs]e", r"cc"),
 }
-#: (label, keyword, regex, rank): what no family name covers.
+#: (label, keyword, regex): names of licences that stand for themselves, as words.  Hand-written.
+NAMES = [
+    ("apsl", "apple public", r"apple public source licen[cs]e"),
+    ("bitstream", "bitstream", r"bitstream vera(?: fonts?)? licen[cs]e"),
+    ("beerware", "beer", r"(?:the )?beer ?ware licen[cs]e"),
+    ("blueoak", "blue oak", r"blue oak model licen[cs]e"),
+    ("cdla", "community data", r"community data licen[cs]e agreement(?: (?:permissive|sharing))?"),
+    ("cern-ohl", "open hardware", r"cern open hardware licen[cs]e(?: (?:strongly|weakly) reciprocal| permissive)?"),
+    ("cnri", "cnri", r"cnri(?: python| jython)?(?: open source)? licen[cs]e"),
+    ("commons-clause", "commons clause", r"commons clause licen[cs]e condition"),
+    ("confluent", "confluent", r"confluent community licen[cs]e"),
+    ("crown", "crown copyright", r"crown copyright"),
+    ("curl", "permission notice", r"copyright and permission notice copyright"),
+    ("dl-de", "data licen", r"data licen[cs]e germany"),
+    ("dsl", "design science", r"design science licen[cs]e"),
+    ("ecl", "educational community", r"educational community licen[cs]e"),
+    ("efl", "eiffel forum", r"eiffel forum licen[cs]e"),
+    ("entessa", "entessa", r"entessa public licen[cs]e"),
+    ("etalab", "etalab", r"(?:etalab open licen[cs]e|licen[cs]e ouverte etalab)"),
+    ("fal", "free art", r"free art licen[cs]e"),
+    ("fair", "fair licen", r"under the fair licen[cs]e"),
+    ("fsl", "functional source", r"functional source licen[cs]e"),
+    ("frameworx", "frameworx", r"frameworx open licen[cs]e"),
+    ("freetype", "freetype", r"freetype(?: project)? licen[cs]e"),
+    ("hdf5", "hdf5", r"hdf5 licen[cs]e"),
+    ("hippocratic", "hippocratic", r"hippocratic licen[cs]e"),
+    ("hpnd", "historical permission", r"historical permission notice and disclaimer"),
+    ("ijg", "jpeg", r"independent jpeg group licen[cs]e"),
+    ("imagemagick", "imagemagick", r"imagemagick licen[cs]e"),
+    ("info-zip", "info zip", r"info zip licen[cs]e"),
+    ("intel", "intel", r"intel (?:simplified|open source|sample source code) (?:software )?licen[cs]e"),
+    ("ipl", "ibm public", r"ibm public licen[cs]e"),
+    ("jasper", "jasper", r"jasper licen[cs]e"),
+    ("lal", "art libre", r"licen[cs]e art libre"),
+    ("llama", "llama", r"llama(?: \d(?: \d)?)? community licen[cs]e(?: agreement)?"),
+    ("lppl", "latex project", r"latex project public licen[cs]e"),
+    ("lucent", "lucent public", r"lucent public licen[cs]e"),
+    ("mit-cmu", "cmu", r"(?:mit )?cmu licen[cs]e"),
+    ("motosoto", "motosoto", r"motosoto(?: open source)? licen[cs]e"),
+    ("mulan", "mulan", r"mulan permissive software licen[cs]e(?: v?\d)?"),
+    ("multics", "multics", r"multics licen[cs]e"),
+    ("nasa", "nasa open", r"nasa open source agreement licen[cs]e"),
+    ("naumen", "naumen", r"naumen public licen[cs]e"),
+    ("nethack", "nethack", r"nethack general public licen[cs]e"),
+    ("nlod", "open government data", r"norwegian licen[cs]e for open government data"),
+    ("nokia", "nokia open", r"nokia open source licen[cs]e"),
+    ("npl", "netscape", r"netscape public licen[cs]e"),
+    ("ntp", "ntp licen", r"ntp licen[cs]e"),
+    ("nvidia", "nvidia", r"nvidia (?:software|source code|open model) licen[cs]e"),
+    ("oclc", "oclc", r"oclc research public licen[cs]e"),
+    ("oldap", "openldap", r"openldap public licen[cs]e"),
+    ("opl", "open publication", r"open publication licen[cs]e"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial) licen[cs]e"),
+    ("prosperity", "prosperity", r"prosperity public licen[cs]e"),
+    ("qt-commercial", "commercial qt", r"valid commercial qt licen[cs]es"),
+    ("rpl", "reciprocal public", r"reciprocal public licen[cs]e"),
+    ("rpsl", "realnetworks", r"realnetworks public source licen[cs]e"),
+    ("ricoh", "ricoh", r"ricoh source code public licen[cs]e"),
+    ("rsal", "redis", r"redis source available licen[cs]e"),
+    ("simpl", "simple public", r"simple public licen[cs]e"),
+    ("sissl", "sun industry", r"sun industry standards source licen[cs]e"),
+    ("spl", "sun public", r"sun public licen[cs]e"),
+    ("solderpad", "solderpad", r"solderpad hardware licen[cs]e"),
+    ("tapr", "tapr", r"tapr open hardware licen[cs]e"),
+    ("tcl", "tcl", r"tcl(?: tk)? licen[cs]e"),
+    ("timescale", "timescale", r"timescale licen[cs]e"),
+    ("ubuntu-font", "ubuntu font", r"ubuntu font licen[cs]e"),
+    ("vovida", "vovida", r"vovida software licen[cs]e"),
+    ("watcom", "watcom", r"sybase open watcom public licen[cs]e"),
+    ("xnet", "xnet", r"xnet licen[cs]e"),
+    ("zpl", "zope", r"zope public licen[cs]e"),
+]
+#: (label, keyword, regex): sentences of the licences themselves, as words, and of the notices that they ask for.  Hand-written.
+SENTENCES = [
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "sublicense", r"without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "permission notice shall", r"the above copyright notice and this permission notice (?:\S+ ){0,4}shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "copyright holders be liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("x11", "prior written authorization", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the (?:copyright holders?|\S+ consortium)"),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "disclaims all warranties", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "prior written permission", r"to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "implied warranties", r"this software is provided by the (?:copyright holders|regents|authors?)(?: and contributors)? as is and any express or implied warranties"),
+    ("bsd", "copyright owner", r"in no event shall the copyright (?:owner|holder)s?(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("apache", "in compliance with", r"you may not use this (?:file|work|software) except in compliance with the licen[cs]e"),
+    ("apache", "obtain a copy of", r"you may obtain a copy of the licen[cs]e at"),
+    ("apache", "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache", "specific language", r"see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e"),
+    ("apache", "contributor hereby grants", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("apache", "asf under", r"licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("gpl", "free software foundation", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation"),
+    ("gpl", "in the hope", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public licen[cs]e along with this program"),
+    ("gpl", "verbatim copies of", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("gpl", "freedom to share", r"the licen[cs]es for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("gpl", "free copyleft", r"the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("gpl", "at your option", r"either version \d(?: \d)? of the licen[cs]e or at your option any later version"),
+    ("lgpl", "lesser general public", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation"),
+    ("lgpl", "library general public", r"under the terms of the gnu library general public licen[cs]e as published by the free software foundation"),
+    ("lgpl", "lesser general public", r"you should have received a copy of the gnu lesser general public licen[cs]e along with this library"),
+    ("lgpl", "incorporates the terms", r"this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3"),
+    ("agpl", "affero", r"under the terms of the gnu affero general public licen[cs]e as published by the free software foundation"),
+    ("agpl", "affero", r"the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("agpl", "remote network", r"remote network interaction use with the gnu general public licen[cs]e notwithstanding any other provision of this licen[cs]e"),
+    ("gfdl", "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e"),
+    ("mpl", "covered software", r"covered software is provided under this licen[cs]e on an as is basis without warranty of any kind"),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("epl", "eclipse", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e"),
+    ("edl", "eclipse", r"made available under the terms of the eclipse distribution licen[cs]e"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("eupl", "eupl", r"this european union public licen[cs]e the eupl applies to the work"),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cpl", "common public", r"the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("cpal", "common public attribution", r"the contents of this file are subject to the common public attribution licen[cs]e"),
+    ("artistic", "artistic", r"it under the same terms as perl itself or the artistic licen[cs]e"),
+    ("artistic", "copyright holder maintains", r"such that the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("bsl-1", "organization obtaining", r"free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("bsl-1", "derivative works of the software", r"the copyright notices in the software and this entire statement (?:\S+ ){0,20}all derivative works of the software"),
+    ("busl", "licensor hereby grants", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic", "licensor grants", r"the licensor grants you a non exclusive royalty free worldwide non sublicensable non transferable licen[cs]e to use copy distribute make available and prepare derivative works of the software"),
+    ("sspl", "as a service", r"making the functionality of the program or modified version available to third parties as a service (?:\S+ ){0,20}licen[cs]e"),
+    ("zlib", "implied warranty", r"this software is provided as is without any express or implied warranty in no event"),
+    ("zlib", "granted to anyone", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("openssl", "openssl", r"the openssl toolkit stays under a (?:dual|double) licen[cs]e"),
+    ("postgresql", "written agreement", r"without fee and without a written agreement is hereby granted provided that the above copyright notice"),
+    ("python", "licensee", r"psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"),
+    ("python", "psf", r"this licen[cs]e agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("php", "php", r"this source file is subject to version \d(?: \d+)? of the php licen[cs]e"),
+    ("ruby", "give away verbatim", r"you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("ms-pl", "accompanying software", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
+    ("ofl", "font software", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("ofl", "font software", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ogl", "public sector", r"contains public sector information licensed under the open government licen[cs]e"),
+    ("odbl", "open database", r"is made available under the open database licen[cs]e"),
+    ("odbl", "individual contents", r"any rights in individual contents of the database are licensed under the database contents licen[cs]e"),
+    ("cc0", "neighboring rights", r"waived all copyright and related or neighboring rights"),
+    ("cc0", "this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("creative-commons", "exercising the licensed", r"by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons"),
+    ("creative-commons", "creative commons", r"this work is licensed under (?:a|the) creative commons"),
+    ("wtfpl", "modified copies of", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("unlicense", "copyright interest", r"dedicate any and all copyright interest in the software to the public domain"),
+    ("sleepycat", "redistributions in any", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("vim", "copies of vim", r"there are no restrictions on distributing unmodified copies of vim except that they must include this licen[cs]e text"),
+    ("w3c", "the licensee", r"by obtaining (?:using )?and or copying this work you the licensee agree that you have read understood and will comply with"),
+    ("upl", "associated documentation and or data", r"permission is hereby granted free of charge to any person obtaining a copy of this software associated documentation and or data"),
+    ("osl", "open software", r"the licensor has placed the following licensing notice adjacent to the copyright notice for the original work licensed under the open software licen[cs]e"),
+    ("afl", "academic free", r"the licensor has placed the following licensing notice adjacent to the copyright notice for the original work licensed under the academic free licen[cs]e"),
+    ("rail", "complementary material", r"licen[cs]e to (?:\S+ ){0,12}the complementary material the model and derivatives of the model"),
+    ("llama", "llama", r"llama \d(?: \d)? is licensed under the llama \d(?: \d)? community licen[cs]e"),
+    ("blueoak", "you to do everything", r"each contributor licen[cs]es you to do everything with this software that would otherwise infringe that contributor s copyright in it"),
+    ("mulan", "mulan", r"is licensed under mulan psl v?\d"),
+    ("qt-commercial", "commercial qt", r"licensees holding valid commercial qt licen[cs]es may use this file in accordance with the commercial licen[cs]e agreement"),
+    ("hpnd", "without fee is hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("freetype", "freetype", r"portions of this software are copyright \S+ the freetype project"),
+    ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff (?:\S+ ){0,20}licen[cs]e"),
+]
+#: (label, keyword, regex, rank): notices and hints that name no licence.
 OTHERS = [
-    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0),
-    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0),
-    ("zlib", "implied warranty", r"this software is provided as is without any express or implied warranty in no event", 0),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain", 1),
     ("public-domain", "public domain", r"(?:is|are) in the public domain", 2),
-    ("unlicense", "public domain", r"free and unencumbered software released into the public domain", 0),
     ("all-rights-reserved", "rights reserved", r"all rights reserved", 3),
     ("copyright", "copyright", r"copyright(?: c)? \d{4}(?: \d{4})*", 3),
     ("no-warranty", "warrant", r"without warrant(?:y|ies)(?: of any kind)?", 3),
@@ -100,7 +260,7 @@ OTHERS = [
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regex, rank), in order.  Rank 0: a licence's own words or tag; 1: a notice; 2: a name; 3: a hint."""
-    out = []
+    out = [(*r, 0) for r in SENTENCES]
     for label, (key, name, tag) in FAMILIES.items():
         out += [
             (label, "spdx", rf"spdx licen[cs]e identifier {tag}", 0),
@@ -110,11 +270,15 @@ def rules() -> list[tuple[str, str, str, int]]:
             (label, key, rf"licen[cs]e {tag}" if tag.startswith("cc ") else rf"{name} notice", 2),
             (label, key, rf"{name}{VERSION}", 2),
         ]
-    return out + OTHERS
+    return out + [(*r, 2) for r in NAMES] + OTHERS
+
+
+def _key(k: str) -> str:
+    return f" {k}" if len(k) < 4 else k
 
 
 def _table() -> Column:
-    cells = [{"label": a, "key": f" {k}" if len(k) < 4 else k, "regex": f"(?<= )(?:{x})(?= )", "rank": r, "rule": i} for i, (a, k, x, r) in enumerate(rules())]
+    cells = [{"label": a, "key": _key(k), "regex": f"(?<= )(?:{x})(?= )", "rank": r, "rule": i} for i, (a, k, x, r) in enumerate(rules())]
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in cells])
 
 
@@ -135,20 +299,33 @@ def _found(line: Column, r: Column) -> Column:
 
 def _suppressed(hits: Column) -> Column:
     """Sorted by start, the longest first, a detection lies within an earlier one if that ends no earlier.  So it is enough to
-    keep, for each rank, the furthest end so far."""
-    ends = F.struct(*[F.lit(-1).alias(f"e{k}") for k in range(4)])
-    kept = F.filter(hits, lambda h: F.lit(False))
+    know, for each rank, the furthest end so far.  Detections are gone through in blocks of the square root of their number, so no array
+    that grows by copying gets longer than that; the furthest ends before each block come first."""
+    size = F.size(hits)
+    step = F.ceil(F.sqrt(size)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), size, step), lambda i: F.slice(hits, i, step))
+    named = lambda ends: F.struct(*[e.alias(f"e{k}") for k, e in enumerate(ends)])
+    furthest = lambda b, k: F.coalesce(F.array_max(F.transform(F.filter(b, lambda h: h["rank"] == k), lambda h: -h["minus_end"])), F.lit(-1))
+    further = lambda x, y: named([F.greatest(x[f"e{k}"], y[f"e{k}"]) for k in range(4)])
+    nothing = named([F.lit(-1)] * 4)
+    before = F.aggregate(
+        F.transform(blocks, lambda b: named([furthest(b, k) for k in range(4)])),
+        F.struct(F.filter(F.array(nothing), lambda e: F.lit(False)).alias("all"), nothing.alias("now")),
+        lambda acc, e: F.struct(F.concat(acc["all"], F.array(acc["now"])).alias("all"), further(acc["now"], e).alias("now")),
+        lambda acc: acc["all"],
+    )
 
-    def step(acc: Column, h: Column) -> Column:
-        upto = [acc["ends"][f"e{k}"] for k in range(4)]
+    def one(acc: Column, h: Column) -> Column:
+        upto, end = [acc["ends"][f"e{k}"] for k in range(4)], -h["minus_end"]
         reach = F.when(h["rank"] == 0, upto[0])
         for k in (1, 2, 3):
             reach = reach.when(h["rank"] == k, F.greatest(*upto[: k + 1]))
-        end = -h["minus_end"]
-        further = F.struct(*[F.when(h["rank"] == k, F.greatest(upto[k], end)).otherwise(upto[k]).alias(f"e{k}") for k in range(4)])
-        return F.struct(F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(h))).alias("kept"), further.alias("ends"))
+        ends = named([F.when(h["rank"] == k, F.greatest(upto[k], end)).otherwise(upto[k]) for k in range(4)])
+        return F.struct(F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(h))).alias("kept"), ends.alias("ends"))
 
-    return F.aggregate(hits, F.struct(kept.alias("kept"), ends.alias("ends")), step, lambda acc: acc["kept"])
+    none = lambda b: F.filter(b, lambda h: F.lit(False))
+    kept = F.zip_with(blocks, before, lambda b, e: F.aggregate(b, F.struct(none(b).alias("kept"), e.alias("ends")), one, lambda acc: acc["kept"]))
+    return F.when(size > 0, F.flatten(kept))
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +343,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
         "_line": F.when(gate, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))),
     })
     line = F.col("_line")
-    live = F.when(line.isNotNull(), F.filter(_table(), lambda r: F.contains(line, r["key"]) & F.rlike(line, r["regex"])))
+    keys = F.array(*[F.lit(k) for k in sorted({_key(r[1]) for r in rules()})])
+    df = df.withColumn("_keys", F.when(line.isNotNull(), F.filter(keys, lambda k: F.contains(line, k))))
+    live = F.when(F.size("_keys") > 0, F.filter(_table(), lambda r: F.array_contains("_keys", r["key"]) & F.rlike(line, r["regex"])))
     base = [F.when(F.contains(line, F.lit(f" {p} ")), _starts(line, F.lit(f"(?<= ){p}(?= )"))) for p in BASE]
     df = df.withColumns({f"_b{k}": F.coalesce(b, F.array().cast("array<int>")) for k, b in enumerate(base)} | {"_live": live})
     df = df.withColumn("_hits", F.array_sort(F.flatten(F.transform("_live", lambda r: _found(line, r)))))
