@@ -1,14 +1,16 @@
 """License scan, chat formatting and quality rules against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.llm import chat, licenses, queries, quality
+from rostrum.llm import chat, licenses, quality
 
 ODD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "mit license"), (5, "MIT  License, mit-license; x mit license"), (6, "Licensed under the Apache License, Version 2.0."),
@@ -125,23 +127,51 @@ def test_quality_base(spark, odd):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_separates(spark, pytestconfig):
-    got = queries.op8_quality_rules(spark, pytestconfig.DATA).select("doc_id", "kept").distinct()
-    labels = spark.read.parquet(f"{pytestconfig.DATA}/labels.parquet")
-    rates = {r.quality: r.share for r in got.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
-    assert rates[1] > 0.9 and rates[0] < 0.3
-
-
-def test_quality_ratio(spark):
-    docs = spark.createDataFrame([(i, f"good words here {i} " * 3) for i in range(20)] + [(100 + i, f"junk!! stuff!! {i} " * 3) for i in range(20)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels, buckets=512)
-    score = {r.doc_id: r.llr for r in quality.with_ratio(quality.with_grams(quality.with_words(docs), 512), model).collect()}
-    assert min(score[i] for i in range(20)) > max(score[100 + i] for i in range(20))
+def test_quality_separates(spark):
+    """Kept rates of labelled documents whose labels the operator never saw."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    unseen = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs.select("doc_id", "text"), labels.filter(~unseen)).select("doc_id", "kept", "base_failed").collect() if not r.base_failed}
+    rates = {}
+    for r in labels.filter(unseen).collect():
+        rates.setdefault((r.quality, r.toxic), []).append(kept.get(r.doc_id))
+    rates = {k: sum(filter(None, rates[k])) / sum(x is not None for x in rates[k]) for k in ((1, 0), (0, 0))}
+    print(rates)
+    assert rates[1, 0] > 0.98 and rates[0, 0] < 0.1
+
+
+def test_quality_ratio_against_plain_counts(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "d", "e"] if k % 3 else ["x!", "y!", "a"], k=15))) for k in range(40)] + [(7, "a b"), (None, "a z"), (50, None), (51, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), int(k == 4)) for k in range(30)] + [(None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    good = {r._id for r in quality.trusted(labels).filter("not _out").collect()}
+    out = {r._id for r in quality.trusted(labels).filter("_out").collect()}
+    assert good | out == {k for k in range(30) if k % 3 and k != 4} and out and good
+    size = 1 << 18  # no two of these n-grams share a bucket
+    grams_of = lambda t: (w := (t or "").split()) + [*zip(w, w[1:])]
+    raw, target = Counter(), Counter()
+    for k, t in rows:
+        raw.update(grams_of(t))
+        target.update(grams_of(t) if k in good else [])
+    shift = math.log((raw.total() + size) / (target.total() + size))
+    ratio = {g: math.log((target[g] + 1) / (raw[g] + 1)) + shift for g in raw}
+    mean = lambda t: sum(map(ratio.__getitem__, grams_of(t))) / len(grams_of(t)) if grams_of(t) else None
+    scores = sorted(mean(t) for k, t in rows if k in out and not base_of(t)[0] < 10 and not 100 * base_of(t)[4] > 20 * base_of(t)[0])
+    least = scores[0] - 0.5 * (scores[-(-len(scores) // 2) - 1] - scores[0]) if scores else quality.THRESHOLD
+    for r in quality.quality_rules(docs, labels, buckets=size).collect():
+        want = mean(r.text)
+        assert (r.llr is None) == (want is None) and (want is None or abs(r.llr - want) < 1e-4)
+        assert r.kept == (not r.base_failed and want is not None and want >= least - 1e-5)
     assert quality.fit(docs, labels.limit(0), buckets=16) == [0.0] * 16
     assert quality.passing(docs.limit(0), labels).count() == 0
 
 
+def test_buckets_grow(spark):
+    sizes = [quality.buckets_for(spark.createDataFrame([("x" * n,)], "text string")) for n in (0, 1000, 100_000, 10_000_000)]
+    assert sizes == sorted(set(sizes))
+
+
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "<|end|>\\ \\\\ <|turn|>x<|text|>"), (1, 3, "user", None), (1, 4, "assistant", "a\nb"),
     (2, 0, "user", "hi"), (3, 0, "assistant", None), (4, 1, "assistant", "<<SYS>> <s> <</SYS>> <\\|end|> \\<|end|>"), (4, 0, None, "😀<|"), (4, 1, "assistant", "z"), (None, 5, "assistant", "q"), (5, None, "user", "n"), (5, 0, "assistant", "m"),
