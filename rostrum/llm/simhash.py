@@ -230,7 +230,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     pairs, before = settled(pairs), None
     while True:
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v")).distinct()
         before = now
@@ -270,7 +270,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def set_signatures(documents: DataFrame, shingle: int, words: int, bands: tuple[int, int]) -> DataFrame:
-    """doc_id, node (128 bits of the text's set of shingles), fingerprint and keys of that set."""
+    """doc_id, hash (of the text), node (128 bits of the text's set of shingles), fingerprint and keys of that set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,11 +281,11 @@ def set_signatures(documents: DataFrame, shingle: int, words: int, bands: tuple[
                 prints.append(fingerprint(h, words))
                 keys.append(band_keys(h, *bands))
             made = [pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "node", "fingerprint", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made], ["doc_id", "hash", "node", "fingerprint", "keys"])
 
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {kind}, node binary, fingerprint binary, keys array<bigint>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, hash bigint, node binary, fingerprint binary, keys array<bigint>")
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -356,7 +356,8 @@ def similar(pairs: DataFrame, sets: DataFrame, tenths: int = TENTHS) -> DataFram
 
 
 def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, bands: tuple[int, int]) -> DataFrame:
-    """doc_id, component_id of every row: the smallest doc_id of all that pairs of a similarity of at least 0.8 reach from it.
+    """doc_id, hash (of the text), root and component_id of every row: the component, and the smallest doc_id of all that pairs of a
+    similarity of at least 0.8 reach from it.
 
     Texts of the same shingles are one node.  In each round a node looks at its nearest candidates that no pair has joined it with
     yet and that it has not looked at, one in the first round and four times as many in each further one, until none is left.  So
@@ -381,17 +382,20 @@ def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, ban
         left = left.drop("label").join(mine, "node").join(roots, "node", "left")
         left = settled(left.select("node", "fingerprint", "keys", F.coalesce("root", "node").alias("label"), F.concat("tried", "_v").alias("tried")))
         most *= MORE
-    placed = signed.select("doc_id", "node").withColumn("root", F.col("node"))
+    placed = signed.select("doc_id", "hash", "node").withColumn("root", F.col("node"))
     if roots is not None:
         placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "root").select("doc_id", "component_id")
+    return placed.join(smallest, "root").select("doc_id", "hash", "root", "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row, that of the smallest doc_id, for each group of near duplicates.  Rows without a doc_id stay."""
-    found = settled(near_copies(documents.filter("doc_id is not null"), **NEAR).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = documents.join(found.select("doc_id"), "doc_id", "left_semi").select(documents.columns)
-    if not found.filter("n > 1").isEmpty():  # repeated rows
+    """``documents`` with one row, of the smallest doc_id, for each group of near duplicates; of texts that share that id, the one of the
+    smallest hash.  Rows without a doc_id stay."""
+    found = near_copies(documents.filter("doc_id is not null"), **NEAR).filter("doc_id = component_id")
+    mine = settled(found.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")).groupBy("root", "doc_id").agg(F.min(F.struct("hash", "n")).alias("_m")))
+    only = mine.select(F.col("doc_id").alias("_id"), F.col("_m.hash").alias("_hash"))
+    kept = documents.join(only, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    if not mine.filter("_m.n > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(documents.filter("doc_id is null"))

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on one machine.
+
+    Tables under it are left to whoever owns the folder: a result is lazy and may read them long after the query returned.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rostrum-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

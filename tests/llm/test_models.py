@@ -387,3 +387,14 @@ def test_near_copies_are_exact(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, **simhash.NEAR).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """An id with two texts: the one that copies a smaller id's goes, the other stays; of its two near copies one stays."""
+    rng = random.Random(11)
+    text = lambda: [str(rng.random()) for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = [*c[:-1], "changed"]
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, near), (9, c)]
+    kept = [(r.doc_id, r.text.split()) for r in simhash.one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()]
+    assert sorted(k for k, _ in kept) == [3, 5, 9] and (3, a) in kept and (5, b) in kept
