@@ -22,10 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.storage import settled
+from rostrum.llm.storage import settled, written
 
 #: Documents of each language that the model is learned from, in expectation.
-LEARN = 10_000
+LEARN = 5_000
 #: Words, and n-grams of each length up to LONGEST, that the model holds; each language has an equal share, of its most frequent.
 WORDS, GRAMS, LONGEST = 60_000, 30_000, 4
 WORD = re.compile(r"[^\W\d_]+")
@@ -57,7 +57,8 @@ def sample(documents: DataFrame, learn_from: int) -> DataFrame:
     where a language has fewer.  Shares are of all 64 bits of the hash, so they don't vanish in a large corpus."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     part = rows.groupBy("lang").agg((F.lit(2.0**64 * learn_from) / F.count("*") - F.lit(2.0**63)).alias("below"))
-    return rows.join(part, "lang").filter(F.col("h") < F.col("below")).select("lang", "text")
+    # written, so that Spark knows that it is small and doesn't shuffle texts by language
+    return rows.join(written(part, "shares"), "lang").filter(F.col("h") < F.col("below")).select("lang", "text")
 
 
 def counted(rows: DataFrame) -> DataFrame:
