@@ -17,27 +17,40 @@ WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(StringType())
-def casefold(s: pd.Series) -> pd.Series:
+def _casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
+def _beyond_ascii(c: Column) -> Column:
+    """The value if it has other characters, else null, so that only such values go to Python."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), c)
+
+
+def nfc(c: Column) -> Column:
+    return F.coalesce(_nfc(_beyond_ascii(c)), c)
+
+
+def casefold(c: Column) -> Column:
+    return F.coalesce(_casefold(_beyond_ascii(c)), F.lower(c))
+
+
 def line_ends(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
 def clean(c: Column) -> Column:
-    """Runs of white space of any kind become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    """Composed characters; runs of white space of any kind become one space; none at the ends."""
+    return F.trim(F.regexp_replace(nfc(c), SPACE, " "))
 
 
 def raw(c: Column) -> Column:
-    """Line ends made alike and white space stripped at both ends only."""
-    return F.regexp_replace(line_ends(c), rf"^{SPACE}|{SPACE}$", "")
+    """Composed characters, line ends made alike and white space stripped at both ends only."""
+    return F.regexp_replace(line_ends(nfc(c)), rf"^{SPACE}|{SPACE}$", "")
 
 
 def words(c: Column) -> Column:
@@ -45,8 +58,8 @@ def words(c: Column) -> Column:
 
 
 def identity(c: Column) -> Column:
-    """A name or id for comparison: white space collapsed, lower case, null as empty."""
-    return F.lower(clean(F.coalesce(c, F.lit(""))))
+    """A name or id for comparison: composed characters, white space collapsed, case folded, null as empty."""
+    return casefold(clean(F.coalesce(c, F.lit(""))))
 
 
 def heading(c: Column) -> Column:
@@ -125,3 +138,23 @@ def csv_cell(c: Column, kind: str) -> Column:
 
 def yes_no_unknown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("unknown"))
+
+
+def without_prefix(c: Column, prefix: str) -> Column:
+    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Of two ISO 8601 times; null if either is none."""
+    return F.timestamp_diff("MICROSECOND", F.try_to_timestamp(start), F.try_to_timestamp(end)) / 1e6
+
+
+def path_head(c: Column) -> Column:
+    """The first part of a path as a number; null if it is none."""
+    return F.split_part(c, F.lit("/"), F.lit(1)).try_cast("int")
+
+
+def prompt(system: Column, user: Column) -> list[Column]:
+    """A record's prompt and its hash: the code book's text, then the record's."""
+    whole = F.concat(system, F.lit("\n\n"), user)
+    return [whole.alias("prompt"), F.sha2(whole, 256).alias("prompt_sha256")]

@@ -82,8 +82,9 @@ def transitions(df: DataFrame, key: str, order: list[str], state: str, allowed:
 
 
 def overlay(original: DataFrame, attempts: DataFrame, key: str, attempt: str, status: str, columns: list[str]) -> DataFrame:
-    """The latest successful attempt takes the place of the original result; all others keep theirs."""
-    best = attempts.filter(F.col(status) == "success").groupBy(key).agg(F.max_by(F.struct(*columns), F.col(attempt)).alias("_new"))
+    """The latest successful attempt takes the place of the original result; all others keep theirs.  Of attempts of one number the one
+    of the largest values counts."""
+    best = attempts.filter(F.col(status) == "success").groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(attempt, *columns)).alias("_new"))
     df = original.join(best, key, "left").withColumn("recovered", F.col("_new").isNotNull())
     return df.withColumns({c: F.when(F.col("recovered"), F.col("_new")[c]).otherwise(F.col(c)) for c in columns}).drop("_new")
 

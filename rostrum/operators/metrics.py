@@ -76,13 +76,12 @@ def pair_category(truth: Column, a: Column, b: Column) -> Column:
 def dominated(runs: DataFrame, run: str, quality: str, cost: str) -> DataFrame:
     """Runs with whether another is at least as good and as cheap, and better in one.
 
-    Runs are put in order of cost; the best quality so far, at a lower or at the same cost, decides.  So no pairs are made.
+    Runs are put in order of cost; the best quality so far, at a lower or at the same cost, decides.  So no pairs are made, and costs
+    are sorted over many partitions.
     """
-    from pyspark.sql import Window as W
+    from rostrum.operators.ordered import prefix_max
 
-    best_at = runs.groupBy(cost).agg(F.max(quality).alias("_top"))
-    w = W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    upto = best_at.withColumn("_below", F.max("_top").over(w))
+    upto = prefix_max(runs.groupBy(cost).agg(F.max(quality).alias("_top")), cost, "_top", "_below")
     return runs.join(upto, cost).select(
         *[runs[c] for c in runs.columns],
         (F.coalesce(F.col("_below") >= F.col(quality), F.lit(False)) | (F.col("_top") > F.col(quality))).alias("dominated"),

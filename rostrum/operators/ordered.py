@@ -27,17 +27,33 @@ def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_start") + 1).drop("_part", "_at", "_start")
 
 
+def prefix_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The greatest value of the rows before each, in an order without ties; null for the first.
+
+    As in ``numbered``, rows are sorted over many partitions, and only one number a partition passes through the driver.
+    """
+    parts = df.orderBy(order).withColumn("_part", F.spark_partition_id()).persist()
+    upto, starts = None, []
+    for part, most in sorted(tuple(r) for r in parts.groupBy("_part").agg(F.max(value)).collect()):
+        starts.append((part, upto))
+        upto = most if upto is None else upto if most is None else max(upto, most)
+    offsets = df.sparkSession.createDataFrame(starts, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", df.schema[value].dataType)]))
+    inner = F.max(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.greatest("_before", inner)).drop("_part", "_before")
+
+
 def previous(df: DataFrame, partition: list[str], order: list, value: Column) -> Column:
     """The last non-null value strictly before the row."""
     return F.last(value, ignorenulls=True).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
 
 
 def asof_before(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str) -> DataFrame:
-    """For each row of left the value of the latest row of right with the same ``by`` and a smaller ``at``."""
+    """For each row of left the value of the latest row of right with the same ``by`` and a smaller ``at``; of several at one time the
+    largest value."""
     marked = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True))
     events = right.select(F.col(by), F.col(at), F.col(value).alias("_v")).withColumn("_left", F.lit(False))
     rows = marked.unionByName(events, allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy(F.col(at), F.desc("_left")).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(by).orderBy(F.col(at), F.desc("_left"), "_v").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_left").drop("_v", "_left")
 
 

@@ -10,8 +10,11 @@ open turn, so runs between resets are independent: they are the groups, and fold
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ class Rules:
     interjection_code: str = "COLLECTIVE_INTERJECTION"
 
     def groups(self) -> dict[str, str]:
-        return {k.lower(): v for k, v in (self.collective or {}).items()}
+        return {k.casefold(): v for k, v in (self.collective or {}).items()}
 
 
 def classified(fragments: DataFrame, rules: Rules) -> DataFrame:
@@ -54,14 +57,47 @@ def classified(fragments: DataFrame, rules: Rules) -> DataFrame:
     })
 
 
-def _joins(anchor: Column, f: Column) -> Column:
-    """Why a continuation joins (starts with CONTINUATION_) or doesn't."""
-    return (
-        F.when(anchor["blocked"] | f["blocked"], "BLOCKING_IDENTITY_WARNING")
-        .when(anchor["speaker"].isNotNull() & f["speaker"].isNotNull(), F.when(anchor["speaker"] == f["speaker"], "CONTINUATION_SPEAKER_ID_MATCH").otherwise("KNOWN_SPEAKER_ID_MISMATCH"))
-        .when(anchor["name"].isNotNull() & (anchor["name"] == f["name"]), "CONTINUATION_EXACT_NAME_FALLBACK")
-        .otherwise("IDENTITY_MISSING_OR_AMBIGUOUS")
-    )
+# Reasons that a fold gives.
+BLOCKED, ID_MATCH, ID_MISMATCH = "BLOCKING_IDENTITY_WARNING", "CONTINUATION_SPEAKER_ID_MATCH", "KNOWN_SPEAKER_ID_MISMATCH"
+NAME_MATCH, AMBIGUOUS, NO_CANDIDATE = "CONTINUATION_EXACT_NAME_FALLBACK", "IDENTITY_MISSING_OR_AMBIGUOUS", "NO_ACTIVE_CANDIDATE"
+SCOPE, SAME_SCOPE, NO_TURN = "HEADING_SCOPE_CHANGED", "ACTIVE_TURN_SAME_SCOPE", "NO_ACTIVE_TURN"
+
+
+class Turn(NamedTuple):
+    """The first fragment of the open turn."""
+
+    seq: int
+    speaker: str | None
+    name: str | None
+    blocked: bool
+    heading: str
+
+
+def _why(turn: Turn, f: Turn) -> tuple[bool, str]:
+    """Does a continuation join the open turn, and why or why not."""
+    if turn.heading != f.heading:
+        return False, SCOPE
+    if turn.blocked or f.blocked:
+        return False, BLOCKED
+    if turn.speaker is not None and f.speaker is not None:
+        return (True, ID_MATCH) if turn.speaker == f.speaker else (False, ID_MISMATCH)
+    return (True, NAME_MATCH) if turn.name is not None and turn.name == f.name else (False, AMBIGUOUS)
+
+
+def _step(turn: Turn | None, kind: str, f: Turn, boundary: str | None, shouted: bool, shout: str) -> tuple[str, str | None, int | None, Turn | None]:
+    """relation, reason, the turn it belongs to, and the open turn after the fragment."""
+    if boundary is not None:
+        turn = None
+    if kind == "I":
+        if turn is None:
+            return "interjection", boundary or NO_TURN, None, None
+        return "interjection", shout if shouted else SAME_SCOPE, turn.seq, turn
+    if kind != "C":
+        return "initial", None, f.seq, f if kind == "S" else None
+    joined, why = (False, boundary or NO_CANDIDATE) if turn is None else _why(turn, f)
+    if joined:
+        return "continuation", why, turn.seq, turn
+    return "orphan", why, f.seq, f if f.name is not None and not f.blocked else None
 
 
 def fold(fragments: DataFrame, rules: Rules) -> DataFrame:
@@ -70,50 +106,34 @@ def fold(fragments: DataFrame, rules: Rules) -> DataFrame:
 
     ``fragments``: source_file, sequence_number, talktype_raw, speaker_id_raw, speaker_name_raw, nospeaker_raw, text_clean,
     warning_codes, boundary_reason_before (null if none), heading (the scope; may be null).
+
+    Runs are dealt over tasks, sorted, and streamed through with the open turn as the only state, so a run of any length takes time in
+    proportion to its fragments.
     """
     w = W.partitionBy("source_file").orderBy("sequence_number")
-    df = classified(fragments, rules).withColumn("boundary", F.col("boundary_reason_before").isNotNull())
-    df = df.withColumn("run", F.sum(F.when(F.col("kind").isin("S", "O") | F.col("boundary"), 1).otherwise(0)).over(w))
-    item = F.struct(
-        F.col("sequence_number").alias("seq"), "kind", "speaker", "name", "blocked", "shouted", "boundary",
-        F.col("boundary_reason_before").alias("why"), F.coalesce("heading", F.lit("")).alias("heading"),
-    )
-    groups = df.groupBy("source_file", "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    nobody = "struct<seq:{0},speaker:string,name:string,blocked:boolean,heading:string>".format(fragments.schema["sequence_number"].dataType.simpleString())
-    result = "array<struct<seq:{0},kind:string,relation:string,reason:string,turn:{0},before:{0}>>".format(fragments.schema["sequence_number"].dataType.simpleString())
-
-    def step(acc: Column, f: Column) -> Column:
-        open_ = acc["open"]
-        mine = F.struct(f["seq"].alias("seq"), f["speaker"].alias("speaker"), f["name"].alias("name"), f["blocked"].alias("blocked"), f["heading"].alias("heading"))
-        why = (
-            F.when(f["boundary"], f["why"]).when(open_.isNull(), "NO_ACTIVE_CANDIDATE")
-            .when(open_["heading"] != f["heading"], "HEADING_SCOPE_CHANGED").otherwise(_joins(open_, f))
-        )
-        joined = why.startswith("CONTINUATION_")
-        may_open = f["name"].isNotNull() & ~f["blocked"]
-        linked = open_.isNotNull() & ~f["boundary"]
-        reason = (
-            F.when(f["kind"] == "I", F.when(f["shouted"] & linked, rules.interjection_code).when(linked, "ACTIVE_TURN_SAME_SCOPE").when(f["boundary"], f["why"]).otherwise("NO_ACTIVE_TURN"))
-            .when(f["kind"] == "C", why)
-        )
-        relation = F.when(f["kind"] == "I", "interjection").when(f["kind"] != "C", "initial").when(joined, "continuation").otherwise("orphan")
-        turn = F.when(f["kind"] == "I", F.when(linked, open_["seq"])).when((f["kind"] == "C") & joined, open_["seq"]).otherwise(f["seq"])
-        then = (
-            F.when(f["kind"] == "I", F.when(~f["boundary"], open_)).when(f["kind"] == "S", mine)
-            .when((f["kind"] == "C") & joined, open_).when((f["kind"] == "C") & may_open, mine)
-        )
-        row = F.struct(f["seq"].alias("seq"), f["kind"].alias("kind"), relation.alias("relation"), reason.alias("reason"), turn.alias("turn"), open_["seq"].alias("before"))
-        return F.struct(then.cast(nobody).alias("open"), F.concat(acc["out"], F.array(row)).cast(result).alias("out"))
-
-    start = F.struct(F.lit(None).cast(nobody).alias("open"), F.array().cast(result).alias("out"))
-    folded = groups.withColumn("f", F.aggregate("items", start, step))
-    # the turn left open by the run before, for the first fragment of this one
-    left = F.lag(F.col("f")["open"]["seq"]).over(W.partitionBy("source_file").orderBy("run"))
-    rows = folded.withColumn("left_open", left).select("source_file", "left_open", F.posexplode(F.col("f")["out"]).alias("k", "r"))
-    return rows.select(
-        "source_file", F.col("r.seq").alias("sequence_number"), F.col("r.kind").alias("kind"), F.col("r.relation").alias("relation"), F.col("r.reason").alias("reason"),
-        F.col("r.turn").alias("turn"), F.when(F.col("r.relation") == "orphan", F.when(F.col("k") == 0, F.col("left_open")).otherwise(F.col("r.before"))).alias("candidate"),
-    )
+    df = classified(fragments, rules).withColumn("run", F.sum(F.when(F.col("kind").isin("S", "O") | F.col("boundary_reason_before").isNotNull(), 1).otherwise(0)).over(w))
+    seq = fragments.schema["sequence_number"].dataType.simpleString()
+    shout = rules.interjection_code
+    names = ["source_file", "run", "sequence_number", "kind", "speaker", "name", "blocked", "heading", "boundary_reason_before", "shouted"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, turn = None, None
+        for batch in batches:
+            out = []
+            for file, run, n, kind, speaker, name, blocked, heading, boundary, shouted in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (file, run) != of:
+                    of, turn = (file, run), None
+                relation, reason, mine, turn = _step(turn, kind, Turn(n, speaker, name, blocked, heading), boundary, shouted, shout)
+                out.append((relation, reason, mine, turn.seq if turn else None))
+            number = batch.schema.field("sequence_number").type
+            more = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), number, number))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source_file", "sequence_number", "kind")), *more], ["source_file", "sequence_number", "kind", "relation", "reason", "turn", "_open"])
+
+    rows = df.select(*names[:7], F.coalesce("heading", F.lit("")).alias("heading"), *names[8:]).repartition("source_file", "run").sortWithinPartitions("source_file", "run", "sequence_number")
+    kind = fragments.schema["source_file"].dataType.simpleString()
+    folded = rows.mapInArrow(stream, f"source_file {kind}, sequence_number {seq}, kind string, relation string, reason string, turn {seq}, _open {seq}")
+    before = F.lag("_open").over(w)  # what the fragment before left open, if only in an earlier run
+    return folded.withColumn("candidate", before).withColumn("candidate", F.when(F.col("relation") == "orphan", F.col("candidate"))).drop("_open")
 
 
 def turns(fragments: DataFrame, folded: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -116,7 +116,39 @@ def refused(response: Column) -> Column:
 
 
 def truncated_json(response: Column) -> Column:
-    return ~F.coalesce(F.trim(response).rlike(r"[}\]]$"), F.lit(False)) & F.coalesce(F.length(F.trim(response)) > 0, F.lit(False))
+    """Is the response no JSON because it was cut off: it doesn't end as a JSON object or list does."""
+    return F.try_parse_json(response).isNull() & ~F.trim(response).rlike(r"[}\]]$")
+
+
+# Categories of failed attempts.
+FAILURES = {"missing": "MISSING_RESULT", "provider": "PROVIDER_FAILURE", "cut": "JSON_TRUNCATION", "structure": "STRUCTURED_OUTPUT_INVALID", "evidence": "EVIDENCE_RESOLUTION_FAILURE"}
+
+
+def failure_category(response: Column, fields: list[str], evidence: Column) -> Column:
+    """Why an attempt failed, null if it didn't: no response, a refusal, no JSON, fields missing, or a quote that isn't found once."""
+    lacking = F.lit(False)
+    for f in fields:
+        lacking = lacking | F.get_json_object(response, f"$.{f}").isNull()
+    return (
+        F.when(response.isNull(), FAILURES["missing"]).when(refused(response), FAILURES["provider"]).when(truncated_json(response), FAILURES["cut"])
+        .when(F.try_parse_json(response).isNull() | lacking, FAILURES["structure"]).when(evidence != "matched", FAILURES["evidence"])
+    )
+
+
+def hostility_error(presence: Column, target: Column, reasoning: Column, spans: Column, present: tuple[str, ...], targets: tuple[str, ...], none: str = "NONE", longest: int = 1000) -> Column:
+    """The first broken rule of a second pass's label; null if it is valid.  Only a label that is YES has a target and evidence."""
+    yes = presence == "YES"
+    return (
+        F.when(~F.coalesce(presence.isin(*present), F.lit(False)), "PRESENCE_UNKNOWN").when(~F.coalesce(target.isin(*targets), F.lit(False)), "TARGET_UNKNOWN")
+        .when(F.length(reasoning) > longest, "REASONING").when(spans.isNull() | F.exists(spans, lambda s: F.coalesce(s, F.lit("")) == ""), "EVIDENCE_FIELDS")
+        .when(yes & (target == none), "YES_WITHOUT_TARGET").when(~yes & (target != none), "TARGET_WITHOUT_YES").when(yes & (F.size(spans) == 0), "YES_WITHOUT_EVIDENCE")
+    )
+
+
+def effective(rows: DataFrame, group: str, valid: Column, repaired: Column, refused_: Column) -> DataFrame:
+    """Rows of a result by what they count as: valid, repaired, refused, or invalid, in this order; the four add up to all."""
+    kind = F.when(valid, "valid").when(repaired, "repaired").when(refused_, "refused").otherwise("invalid")
+    return rows.groupBy(group).agg(*[F.count_if(kind == k).alias(f"n_{k}") for k in ("valid", "repaired", "refused", "invalid")], F.count("*").alias("n_all"))
 
 
 def export_status(predicted: Column, refused_: Column, invalid: Column, usable: Column) -> Column:

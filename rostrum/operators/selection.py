@@ -106,18 +106,21 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, allocation: DataFra
 
 
 def systematic_sample(df: DataFrame, order: str, k: int) -> DataFrame:
-    """``k`` rows spread evenly in ``order``: those at bround(i * (n - 1) / (k - 1)); all if they are no more than ``k``.
+    """``k`` rows spread evenly in ``order``: those at bround(i * (n - 1) / (k - 1)), or the middle one, at n // 2, if ``k`` is 1; all if
+    they are no more than ``k``.
 
     Rows are numbered without one task taking them all: see ``ordered.numbered``.
     """
     from rostrum.operators.ordered import numbered
 
+    if k < 1:
+        raise ValueError("a sample has at least one row")
     ranked = numbered(df, [order], "_n")
     n = df.count()
     if n <= k:
         return ranked.drop("_n")
     spark = df.sparkSession
-    place = F.bround(F.col("id") * F.lit(n - 1).cast("double") / F.lit(max(1, k - 1))).cast("long") + 1
+    place = (F.bround(F.col("id") * F.lit(n - 1).cast("double") / F.lit(k - 1)).cast("long") if k > 1 else F.lit(n // 2).cast("long")) + 1
     wanted = spark.range(k).select(place.alias("_n")).distinct()
     return ranked.join(F.broadcast(wanted), "_n", "left_semi").drop("_n")
 
@@ -136,6 +139,24 @@ def page(df: DataFrame, order: Iterable, limit: int, offset: int = 0, most: int
     return df.orderBy(*order).offset(offset).limit(max(1, min(limit, most)))
 
 
+def page_with_total(df: DataFrame, order: Iterable, limit: int, offset: int = 0) -> DataFrame:
+    """A page, each row with the number of all rows.  The count is one aggregate beside the page, not a window over all rows."""
+    return page(df, order, limit, offset).withColumn("total", df.agg(F.count("*")).scalar())
+
+
+def same_configuration(a: str, b: str, fields: Iterable[str]) -> Column:
+    """Do two structs agree in all fields; nulls agree with nulls."""
+    out = F.lit(True)
+    for f in fields:
+        out = out & F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}"))
+    return out
+
+
+def derived(df: DataFrame, primary: str, secondary: str, domain: str) -> DataFrame:
+    """Rows of a first pass that a second one on a domain takes up: it is their primary one or among the secondary."""
+    return df.filter(F.coalesce(F.col(primary) == domain, F.lit(False)) | F.coalesce(F.array_contains(secondary, domain), F.lit(False)))
+
+
 def sample_holds(sample: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """One row: is the sample of the size, its keys unique, its order gapless from 1."""
     return sample.agg(

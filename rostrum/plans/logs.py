@@ -48,9 +48,10 @@ def exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.with_exists(table(spark, sf_dir, "customer").select("c_custkey"), partial, ["c_custkey"], "has_partial")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders o where o.o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders o where o.o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'P')")
 def not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    return table(spark, sf_dir, "customer").join(urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders join lineitem on l_orderkey = o_orderkey where o_custkey = c_custkey and l_returnflag = 'R')")
@@ -104,17 +105,17 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.groupBy("from_state", "event_type", "allowed").agg(F.count("*").alias("n"))
 
 
-@query("""with e as (select c_custkey as k from customer where c_custkey % 3 <> 0), c as (select distinct o_custkey as k from orders where o_orderstatus = 'F'),
+@query("""with e as (select c_custkey as k from customer where c_custkey % 3 <> 0), c as (select distinct o_custkey as k from orders where o_orderstatus = 'F'), r as (select o_custkey as k from orders where o_orderstatus = 'P' group by 1 having count(*) > 1),
     t as (select distinct o_custkey as k from orders where o_orderstatus = 'P'), a as (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'),
     k as (select k, bool_or(s = 'e') as e, bool_or(s = 'c') as c, bool_or(s = 't') as t, bool_or(s = 'a') as a from (select k, 'e' as s from e union all select k, 'c' from c union all select k, 't' from t union all select k, 'a' from a) group by k)
     select count(*) filter (where e) as n_eligible, count(*) filter (where c) as n_completed, count(*) filter (where t) as n_terminal, count(*) filter (where a) as n_active,
-    count(*) filter (where c::int + t::int + a::int > 1) as n_overlapping, count(*) filter (where not e and (c or t or a)) as n_outside, 0::bigint as n_repeated,
+    count(*) filter (where c::int + t::int + a::int > 1) as n_overlapping, count(*) filter (where not e and (c or t or a)) as n_outside, (select count(*) from r) as n_repeated,
     count(*) filter (where e and not (c or t or a)) as n_remaining from k""")
 def set_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, key = table(spark, sf_dir, "orders"), F.col("o_custkey").alias("k")
     eligible = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
     pick = lambda c: orders.filter(c).select(key).distinct()
-    return events.reconcile(eligible, pick("o_orderstatus = 'F'"), pick("o_orderstatus = 'P'"), pick("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'"), "k")
+    return events.reconcile(eligible, pick("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'P'").select(key), pick("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'"), "k")
 
 
 @query("""select count(*) filter (where c is not null and o is not null) as n_both, count(*) filter (where o is null) as n_left_only, count(*) filter (where c is null) as n_right_only

@@ -183,20 +183,19 @@ def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(schema.errors(), ",").alias("errors"))
 
 
-@query("""select doc_id, case when doc_id % 3 = 0 then 'unmatched' when strpos(substr(text, strpos(text, substr(text, 5, 30)) + 1), substr(text, 5, 30)) > 0 then 'ambiguous' else 'matched' end as status
-    from documents where length(text) > 60 and not regexp_matches(text, '[\\s]{2}') and not regexp_matches(text, '[^\\x00-\\x7F]') and not regexp_matches(substr(text, 5, 1) || substr(text, 34, 1), '\\s') and not regexp_matches(text, '\\n|`')""")
+@query("""with q as (select doc_id, coalesce(text, '') as t, substr(coalesce(text, ''), 5 + doc_id % 50, 6) || case when doc_id % 3 = 0 then '~' else '' end as quote from documents)
+    select doc_id, case when quote = '' then 0 else ((length(t) - length(replace(t, quote, ''))) // length(quote))::bigint end as hits from q""")
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    plain = (F.length(t) > 60) & ~t.rlike(r"\s{2}|[^\x00-\x7F]|\n|`") & ~F.concat(F.substring(t, 5, 1), F.substring(t, 34, 1)).rlike(r"\s")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring(t, 5, 30), F.lit("~no such words~"))).otherwise(F.substring(t, 5, 30))
-    rows = table(spark, sf_dir, "documents").filter(plain).select("doc_id", "text", quote.alias("quote"))
-    return evidence.located(rows, "text", "quote").select("doc_id", "status")
+    """Quotes as they stand, in all texts."""
+    t = F.coalesce("text", F.lit(""))
+    quote = F.concat(F.substring(t, (F.col("doc_id") % 50 + 5).cast("int"), F.lit(6)), F.when(F.col("doc_id") % 3 == 0, "~").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.exact_hits(t, quote).alias("hits"))
 
 
 @query()
 def evidence_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all documents, four quotes from a hashed place: as it stands, with other quotes, dashes and white space, from the start,
-    and one that does not stand in the text.  SQL can't keep the offsets, so this has none; ``evidence_spans`` is the part that it can follow."""
+    and one that does not stand in the text.  SQL can't keep the offsets, so this has none."""
     t = F.coalesce("text", F.lit(""))
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(t) - 40, F.lit(1))).cast("int") + 1
     taken = F.substring(t, place, F.lit(40))

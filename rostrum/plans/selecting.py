@@ -169,7 +169,7 @@ def population_share_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with s as (select doc_id, row_number() over (order by sha256(doc_id::varchar || ':s9'), doc_id) as sample_order from documents order by 2 limit 30)
-    select count(*) = 30 as size_ok, count(distinct doc_id) = count(*) as unique_ok, true as order_ok from s""")
+    select count(*) = 30 as size_ok, count(distinct doc_id) = count(*) as unique_ok, min(sample_order) = 1 and max(sample_order) = count(*) and count(distinct sample_order) = count(*) as order_ok from s""")
 def sample_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rostrum.operators.ordered import numbered
 

@@ -200,21 +200,29 @@ def fragments(rows: DataFrame, marker: str = "") -> DataFrame:
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """Major and minor headings; a minor one knows its major's key."""
+    """Major and minor headings; a minor one knows its major's key, and one without a major is left out."""
     heads = rows.filter("error is null and tag in ('major-heading', 'minor-heading')")
     key = keys.stable_key("debate_section", F.col("source_file_sha256"), F.col("sequence_number"), F.col("attributes")["id"])
     major = F.col("tag") == "major-heading"
     df = heads.select("source_file", "sequence_number", F.when(major, "major").otherwise("minor").alias("section_type"), F.col("heading").alias("heading_original"), text.heading(F.coalesce("heading", F.lit(""))).alias("heading_clean"), key.alias("section_key"))
     parent = ordered.previous(df, ["source_file"], ["sequence_number"], F.when(F.col("section_type") == "major", F.col("section_key")))
-    return df.withColumn("parent_section_key", F.when(F.col("section_type") == "minor", parent))
+    return df.withColumn("parent_section_key", F.when(F.col("section_type") == "minor", parent)).filter("section_type = 'major' or parent_section_key is not null")
 
 
 def events(rows: DataFrame) -> DataFrame:
-    """What is neither speech nor heading, its payload as JSON."""
-    df = rows.filter(f"error is null and tag <> '{SPEECH}' and tag not in ('major-heading', 'minor-heading')")
+    """What is neither speech nor heading, its payload as JSON, with the keys of the sections that it stands in."""
+    section = keys.stable_key("debate_section", F.col("source_file_sha256"), F.col("sequence_number"), F.col("attributes")["id"])
+    df = ordered.with_headings(rows.filter("error is null"), "source_file", ["sequence_number"], F.col("tag") == "major-heading", F.col("tag") == "minor-heading", section)
+    df = df.filter(f"tag <> '{SPEECH}' and tag not in ('major-heading', 'minor-heading')")
     key = keys.stable_key("debate_event", F.col("source_file_sha256"), F.col("sequence_number"), F.col("attributes")["id"])
     unknown = F.when(~F.col("tag").isin("division", "bills"), "UNKNOWN_TOP_LEVEL_EVENT")
-    return df.select("source_file", "sequence_number", F.col("tag").alias("element_type"), "payload_json", "bills_count", "bill_record_count", key.alias("event_key"), text.codes(unknown).alias("warning_codes"))
+    minor = F.when(F.col("major").isNotNull(), F.col("minor"))  # a minor section without a major is no section
+    return df.select("source_file", "sequence_number", F.col("major").alias("major_section_key"), minor.alias("minor_section_key"), F.col("tag").alias("element_type"), "payload_json", "bills_count", "bill_record_count", key.alias("event_key"), text.codes(unknown).alias("warning_codes"))
+
+
+def images(fragments: DataFrame) -> DataFrame:
+    """A row per image of a fragment, in order."""
+    return fragments.select("fragment_key", "source_file", "sequence_number", F.posexplode("images").alias("image_ordinal", "image"))
 
 
 def business(df: DataFrame, mapping: DataFrame, heading: str = "major") -> DataFrame:
