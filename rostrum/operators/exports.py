@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import csv_cell
+from rostrum.operators.ordered import numbered
 
 
 def write_by_year(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -46,3 +47,17 @@ def canonical(turns: DataFrame, first_fragments: DataFrame, predictions: DataFra
         turns.join(first_fragments, "turn_key", "left").join(first, "turn_key", "left").join(last, "prediction_id", "left")
         .withColumn("n_predictions", F.coalesce("n_predictions", F.lit(0)))
     )
+
+
+def catalogue(runs: DataFrame, predictions: DataFrame, reviews: DataFrame, refusals: DataFrame, terminal: tuple[str, ...] = ("accepted", "edited", "skipped")) -> DataFrame:
+    """A row per run: predictions, those with a review that ended it and those without, and refusals; zero where there are none."""
+    ended = reviews.filter(F.col("review_status").isin(*terminal)).select("prediction_id").distinct().withColumn("_ended", F.lit(True))
+    own = predictions.join(ended, "prediction_id", "left").groupBy("run_id").agg(F.count("*").alias("prediction_count"), F.count_if(F.col("_ended").isNotNull()).alias("reviewed_count"))
+    refused = refusals.groupBy("run_id").agg(F.count("*").alias("provider_refusal_count"))
+    rows = runs.join(own, "run_id", "left").join(refused, "run_id", "left").fillna(0, ["prediction_count", "reviewed_count", "provider_refusal_count"])
+    return rows.withColumn("unreviewed_count", F.col("prediction_count") - F.col("reviewed_count"))
+
+
+def canonical_order(df: DataFrame, date: str, path: str, sequence: str, key: str) -> DataFrame:
+    """Rows with ``corpus_order``, from 1: by date, path, sequence and key, strings by their bytes."""
+    return numbered(df, [date, path, sequence, key], "corpus_order")

@@ -157,6 +157,38 @@ def derived(df: DataFrame, primary: str, secondary: str, domain: str) -> DataFra
     return df.filter(F.coalesce(F.col(primary) == domain, F.lit(False)) | F.coalesce(F.array_contains(secondary, domain), F.lit(False)))
 
 
+# What a queue of reviews can be asked for, beside a status of the latest review.
+QUEUES = ("unreviewed", "reviewed", "flagged_codebook")
+
+
+def review_queue(current: DataFrame, wanted: str, *, equal: dict[str, object] | None = None, json: dict[str, tuple[str, str]] | None = None, year: tuple[str, int] | None = None, sample: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """Predictions with their reviews (``operators.reviews.current_reviews``) that a reviewer asked for.
+
+    ``wanted``: one of ``QUEUES`` or a status of the latest review.  ``equal``: columns by value; ``json``: column and value of each
+    path; ``year`` of a date column; ``sample``: a column and the keys of a drawn sample.  What is left out is not part of the plan.
+    """
+    last = F.col("last_status")
+    if wanted in QUEUES:
+        df = current.filter({"unreviewed": last.isNull(), "reviewed": last.isNotNull(), "flagged_codebook": F.col("flagged_status").isNotNull()}[wanted])
+    else:
+        df = current.filter(last == wanted)
+    for name, value in (equal or {}).items():
+        df = df.filter(F.col(name) == F.lit(value))
+    for path, (column, value) in (json or {}).items():
+        df = df.filter(F.get_json_object(column, f"$.{path}") == value)
+    if year is not None:
+        if not 1901 <= year[1] <= 2100:
+            raise ValueError("a year is from 1901 to 2100")
+        df = df.filter(F.year(year[0]) == year[1])
+    return df if sample is None else df.join(sample[1].select(sample[0]).distinct(), sample[0], "left_semi")
+
+
+def preview(df: DataFrame, criteria: Criteria, limit: int | None = None) -> DataFrame:
+    """One row: how many rows a batch could take and how many it would."""
+    n = F.count("*")
+    return criteria.apply(df).agg(n.alias("eligible_count"), (F.least(n, F.lit(limit)) if limit else n).alias("selected_count"))
+
+
 def sample_holds(sample: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """One row: is the sample of the size, its keys unique, its order gapless from 1."""
     return sample.agg(
