@@ -35,6 +35,27 @@ def write_manifest(spark: SparkSession, path: str, facts: dict) -> None:
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
 
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of every file below a folder, hashed where it is read; files are parts of a table, so each fits a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_gated(df: DataFrame, path: str, rows: int) -> None:
+    """Parquet and CSV of a table, then checksums of both, and the manifest last; nothing after the first two if either, read back,
+    hasn't the number of rows that was expected."""
+    spark, forms = df.sparkSession, ("parquet", "csv")
+    df.write.option("compression", "zstd").mode("errorifexists").parquet(f"{path}/parquet")
+    write_csv(spark.read.schema(df.schema).parquet(f"{path}/parquet"), f"{path}/csv")
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/csv")
+    for form, back in zip(forms, (spark.read.parquet(f"{path}/parquet"), csv)):
+        if (n := back.count()) != rows:
+            raise ValueError(f"{form} has {n} rows, not {rows}")
+    both = [checksums(spark, f"{path}/{form}").withColumn("form", F.lit(form)) for form in forms]
+    write_jsonl(both[0].unionByName(both[1]), f"{path}/checksums")
+    write_manifest(spark, f"{path}/manifest", {"rows": rows, "columns": df.columns})
+
+
 def canonical(turns: DataFrame, first_fragments: DataFrame, predictions: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per turn with its first fragment, its prediction and that one's latest review, whether or not there are any.
 

@@ -26,10 +26,11 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def last_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Of JSON lines with the same key, the last one of each file's order.  Lines are numbered by file and place."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"), F.monotonically_increasing_id().alias("_n"))
-    parsed = rows.select(F.from_json("value", schema).alias("r"), "_f", "_n").filter(F.col("r")[key].isNotNull())
-    return parsed.groupBy(F.col("r")[key].alias("_k")).agg(F.max_by("r", F.struct("_f", "_n")).alias("r")).select("r.*")
+    """Of JSON lines with the same key, the last one in order of path and place.  Blocks of a file may be read in any order, so a line's
+    place is its block's start and then its number within the block."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    parsed = spark.read.text(path).select(F.from_json("value", schema).alias("r"), at.alias("_at")).filter(F.col("r")[key].isNotNull())
+    return parsed.groupBy(F.col("r")[key].alias("_k")).agg(F.max_by("r", "_at").alias("r")).select("r.*")
 
 
 def with_schema(spark: SparkSession, path: str, schema: str) -> DataFrame:

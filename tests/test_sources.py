@@ -1,5 +1,6 @@
 """XML archives, tables, sinks and the stream."""
 
+import hashlib
 import json
 
 import pytest
@@ -115,3 +116,29 @@ def test_rules(spark):
     assert s.select(rules.span_errors(F.col("t"), F.col("s"))).first()[0] == [None, "OUT_OF_BOUNDS", "EMPTY", "START_NEGATIVE", "OFFSET_MISSING", "TEXT_DIFFERS"]
     with pytest.raises(ValueError):
         selection.Criteria(words_min=5, words_max=1)
+
+
+def test_last_lines_of_many_blocks(spark, tmp_path):
+    """Files of one name in two folders, read in many small blocks: the last line of the last path counts."""
+    for folder, sign in (("a", 1), ("b", -1)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text("".join(f'{{"id":"{i % 7}","n":{sign * i}}}\n' for i in range(1, 400 if sign > 0 else 700)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        rows = tables.last_lines(spark, str(tmp_path / "*"), "id string, n int", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert {r.id: r.n for r in rows} == {str(i % 7): -i for i in range(693, 700)}
+
+
+def test_gated_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quoted"\nline'), (2, None), (3, "")], "id int, text string").repartition(2)
+    exports.write_gated(df, str(tmp_path / "ok"), 3)
+    sums = spark.read.json(str(tmp_path / "ok" / "checksums")).collect()
+    for form in ("parquet", "csv"):
+        files = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "ok" / form).glob("part-*")}
+        assert files == {r.file: (r.size, r.sha256) for r in sums if r.form == form}
+    with pytest.raises(ValueError):
+        exports.write_gated(df, str(tmp_path / "no"), 4)
+    assert not (tmp_path / "no" / "manifest").exists()
