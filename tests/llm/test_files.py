@@ -79,7 +79,7 @@ def test_sql(spark, pytestconfig):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5
 
 
@@ -107,7 +107,8 @@ def test_empty_tables_go_through(spark, pytestconfig, tmp_path):
     for name in ("labels", "benchmark", "documents"):
         spark.read.parquet(f"{pytestconfig.DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     spark.read.parquet(f"{pytestconfig.DATA}/conversations.parquet").limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
-    spark.read.parquet(f"{pytestconfig.DATA}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("pages", "embeddings"):
+        spark.read.parquet(f"{pytestconfig.DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == (1 if name == "op5_chat_format" else 0), name
