@@ -19,9 +19,11 @@ import re
 from collections.abc import Iterator
 from fractions import Fraction
 from pathlib import Path
+from struct import pack as pack_numbers
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,9 @@ PART, REMEMBERED, LONGEST, BATCH, STAGES = 1 << 20, 1_000_000, 64, 512, 24
 #: White space of the vocabulary's rules (a fixed value): Unicode's, without the four separators U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 UNUSUAL = re.compile("[\x1c-\x1f]")
+#: The rule that splits words (a fixed value), and the words for whose characters it and lower-casing agree with the library's at every code point.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile("[!-~\u00c0-\u024f]+")
 
 
 class Encoder(dict):
@@ -50,9 +55,21 @@ class Encoder(dict):
     def __init__(self, definition: str, part: int = PART):
         super().__init__()
         self.tokenizer, self.part = load(definition), part
+        self.model, self.special = self.tokenizer.model, tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        printable = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0)]  # bytes that stand for themselves; others follow 255
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def ids(self, word: str) -> list[int]:
+        """A word of plain characters goes to the library's model as pre-tokens, others to the library whole."""
+        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            parts = PRETOKEN.findall(word.lower())
+            if not word.isascii():
+                parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+            return [t.id for p in parts for t in self.model.tokenize(p)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = pack_numbers(f"<{len(found := self.ids(word))}I", *found)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -80,6 +80,10 @@ def test_word_ids_are_the_librarys(spark, pytestconfig):
         encode = bestfit.Encoder(bestfit.definition(), part)
         for text in texts:
             assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    # every plain character, also beside others
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]):
+        word = f"a{c}1{c}B{c}{c}'ll-{c}'s"
+        assert bestfit.PLAIN.fullmatch(word) and encode.ids(word) == library.encode(word, add_special_tokens=False).ids, hex(ord(c))
     # every separator separates, and nothing else that Python splits at is left out
     for c in filter(lambda c: not 0xD800 <= c < 0xE000 and chr(c).isspace(), range(0x3100)):
         assert encode(f"ab{chr(c)}cd") == np.array(library.encode(f"ab{chr(c)}cd", add_special_tokens=False).ids, "<u4").tobytes()
