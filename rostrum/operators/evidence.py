@@ -6,8 +6,11 @@ keep offsets through such a mapping, so aligning is a small Arrow function; quot
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,35 +20,51 @@ from pyspark.sql import types as T
 SINGLE = "\u2018\u2019\u201a\u201b`\u00b4"
 DOUBLE = "\u201c\u201d\u201e\u201f"
 HYPHEN = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
+RUN = re.compile(r"\s{2,}")
 FOLD = str.maketrans(dict.fromkeys(SINGLE, "'") | dict.fromkeys(DOUBLE, '"') | dict.fromkeys(HYPHEN, "-"))
 
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """The text in its one form, and for each of its characters, and its end, the place in the source."""
-    out, places, gap = [], [], None
-    for i, c in enumerate(text.translate(FOLD)):
-        if c.isspace():
-            gap = i if gap is None else gap
-            continue
-        if gap is not None and out:
-            out.append(" ")
-            places.append(gap)
-        gap = None
-        out.append(c)
-        places.append(i)
-    return "".join(out), [*places, places[-1] + 1 if places else 0]
-
-
-def aligned(text: str | None, quote: str | None) -> tuple[str, int | None, int | None]:
-    """(matched | unmatched | ambiguous, start, end).  Overlapping hits count as several."""
-    source, places = folded(text or "")
-    wanted, _ = folded(quote or "")
-    at = source.find(wanted) if wanted else -1
-    if at < 0:
-        return "unmatched", None, None
-    if source.find(wanted, at + 1) >= 0:
-        return "ambiguous", None, None
-    return "matched", places[at], places[at + len(wanted) - 1] + 1
+class Folded:
+    """A text in its one form, with the way back to the source's places.
+
+    Only runs of white space change places, so what is kept is where such runs end and how much they took.
+    """
+
+    def __init__(self, source: str):
+        source = source.translate(FOLD)
+        self.text, self.ends, self.shifts = " ".join(source.split()), [0], [len(source) - len(source.lstrip())]
+        inner = len(source.rstrip())
+        for run in RUN.finditer(source, self.shifts[0], inner):
+            self.ends.append(run.start() - self.shifts[-1] + 1)
+            self.shifts.append(self.shifts[-1] + run.end() - run.start() - 1)
+
+    def place(self, at: int) -> int:
+        return at + self.shifts[bisect_right(self.ends, at) - 1]
+
+
+def resolved(text: str | None, quotes: list[str | None]) -> list[tuple[str, int | None, int | None]]:
+    """(matched | unmatched | ambiguous, start, end) of each quote.  Overlapping hits count as several.
+
+    The text is folded once and read once by an automaton of all quotes, which notes two hits of each at most.
+    """
+    wanted = [Folded(q or "").text for q in quotes]
+    hits: dict[str, list[int]] = {w: [] for w in wanted if w}
+    if hits and text:
+        source, automaton = Folded(text), ahocorasick.Automaton()
+        for w in hits:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for end, w in automaton.iter(source.text):
+            if len(hits[w]) < 2:
+                hits[w].append(end)
+    out: list[tuple[str, int | None, int | None]] = []
+    for w in wanted:
+        ends = hits.get(w, ())
+        if len(ends) == 1:
+            out.append(("matched", source.place(ends[0] - len(w) + 1), source.place(ends[0]) + 1))
+        else:
+            out.append(("ambiguous" if ends else "unmatched", None, None))
+    return out
 
 
 ALIGNED = T.StructType([T.StructField("status", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())])
@@ -54,11 +73,17 @@ ALIGNED = T.StructType([T.StructField("status", T.StringType()), T.StructField("
 @F.pandas_udf(ALIGNED)
 def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for text, quote in batches:
-        rows = [aligned(t, q) for t, q in zip(text, quote, strict=True)]
+        rows = [resolved(t, [q])[0] for t, q in zip(text, quote, strict=True)]
         found = pd.DataFrame(rows, columns=["status", "start_offset", "end_offset"])
         yield found.astype({"start_offset": "Int32", "end_offset": "Int32"})
 
 
+@F.pandas_udf(T.ArrayType(ALIGNED))
+def align_all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for text, quotes in batches:
+        yield pd.Series([None if q is None else [dict(zip(ALIGNED.names, r)) for r in resolved(t, list(q))] for t, q in zip(text, quotes, strict=True)], dtype=object)
+
+
 def located(df: DataFrame, text: str, quote: str) -> DataFrame:
     """Adds ``status``, ``start_offset`` and ``end_offset`` of the quote in the text."""
     df = df.withColumn("_e", align(F.col(text), F.col(quote)))

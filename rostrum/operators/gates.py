@@ -84,37 +84,11 @@ def ruling_errors(mismatches: DataFrame, rulings: DataFrame, key: str) -> DataFr
     return given.join(ruled, key, "full").select(key, error.alias("error")).filter("error is not null")
 
 
-def hostility_row_error(task: Column, values: Column, policy_fields: list[Column]) -> Column:
-    """The first broken rule of an exported second-pass prediction, ``values`` its JSON; null if it is consistent."""
-    names, spans = F.json_object_keys(values), F.get_json_object(values, "$.evidence_spans")
-    presence, target = F.get_json_object(values, "$.hostility_present"), F.get_json_object(values, "$.target")
-    fields = F.from_json(spans, "array<map<string,string>>")
-    whole = lambda c: F.coalesce(c.rlike(r"^-?[0-9]+$"), F.lit(False))
-    fine = lambda s: whole(s["start_offset"]) & whole(s["end_offset"]) & (s["start_offset"].cast("long") >= 0) & (s["end_offset"].cast("long") > s["start_offset"].cast("long"))
-    bad = F.exists(fields, lambda s: ~F.coalesce((F.size(s) == 3) & fine(s) & (s["text"] != ""), F.lit(False)))
-    n = F.json_array_length(spans)
-    return first(
-        TASK_DIFFERS=~task.eqNullSafe(F.lit("hostility")), VALUES_NOT_AN_OBJECT=names.isNull(), POLICY_FIELDS=reduce(Column.__or__, [c.isNotNull() for c in policy_fields]),
-        VALUE_FIELDS=~F.array_sort(names).eqNullSafe(F.array(*map(F.lit, ("evidence_spans", "hostility_present", "target")))),
-        LABEL_UNKNOWN=~(_in(presence, PRESENCES) & _in(target, (*TARGETS, "N/A"))), SPANS_INVALID=n.isNull() | fields.isNull() | bad,
-        INCONSISTENT=((presence == "NO") & ((target != "N/A") | (n > 0))) | ((presence != "NO") & ((target == "N/A") | (n == 0))),
-    )
-
-
 def provenance_error(row: dict[str, Column], expected: dict[str, str]) -> Column:
     """The first field, in the order of ``expected``, that a row has with another value than the one configured; null if there is none."""
     return first(**{name: row[name].isNotNull() & (row[name] != F.lit(want)) for name, want in expected.items() if name in row})
 
 
-def repair_error(presence: Column, target: Column, output: Column, found: Column) -> Column:
-    """Why an evidence-only repair can't be used: its label isn't one that has evidence, its JSON says more than evidence, it hasn't
-    just one passage, or the passage isn't found once in the text (``found`` is not ``matched``)."""
-    return first(
-        NOT_REPAIRABLE=~(_in(presence, ("YES", "UNSURE")) & _in(target, TARGETS)), OUTPUT_FIELDS=~F.json_object_keys(output).eqNullSafe(F.array(F.lit("evidence_spans"))),
-        NOT_ONE_PASSAGE=~F.json_array_length(F.get_json_object(output, "$.evidence_spans")).eqNullSafe(F.lit(1)), NOT_RESOLVED=~found.eqNullSafe(F.lit("matched")),
-    )
-
-
 def coverage(planned: DataFrame, outcomes: DataFrame, key: str, status: str, known: tuple[str, ...]) -> DataFrame:
     """One row: do the outcomes cover the planned records, each once, with a status that is known; and how many don't."""
     sides = planned.select(key, F.lit(1).alias("_p"), F.lit(0).alias("_o"), F.lit(0).alias("_u")).unionByName(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def condition(c: dict, lists: set[str] = frozenset()) -> Column:
@@ -115,36 +119,62 @@ def refused(response: Column) -> Column:
     return F.coalesce(reason == "PROHIBITED_CONTENT", F.lit(False)) & F.get_json_object(response, "$.candidates[0].content.parts[0].text").isNull()
 
 
-def truncated_json(response: Column) -> Column:
-    """Is the response no JSON because it was cut off: it doesn't end as a JSON object or list does."""
-    return F.try_parse_json(response).isNull() & ~F.trim(response).rlike(r"[}\]]$")
+STOP = T.StructType([T.StructField("reason", T.StringType()), T.StructField("place", T.LongType())])
 
 
-# Categories of failed attempts.
-FAILURES = {"missing": "MISSING_RESULT", "provider": "PROVIDER_FAILURE", "cut": "JSON_TRUNCATION", "structure": "STRUCTURED_OUTPUT_INVALID", "evidence": "EVIDENCE_RESOLUTION_FAILURE"}
+@F.pandas_udf(STOP)
+def json_stop(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Why and where (in code points) a JSON parser stops; null where it reads to the end."""
 
+    def stop(response: str | None) -> tuple[str | None, int | None]:
+        try:
+            if response is not None:
+                json.loads(response)
+            return None, None
+        except json.JSONDecodeError as e:
+            return e.msg, e.pos
+        except (RecursionError, ValueError):
+            return "Too deep", 0
+
+    for response in batches:
+        yield pd.DataFrame([stop(r) for r in response], columns=STOP.names).astype({"reason": "string", "place": "Int64"})
+
+
+# Where a parser stops at the end of a response that was cut off, and categories of failed attempts, first attempts and repairs.
+CUT = ("Unterminated string starting at", "Expecting value", "Expecting ',' delimiter", "Expecting ':' delimiter")
+CATEGORIES = (
+    "EVIDENCE_RESOLUTION_FAILURE", "EVIDENCE_REPAIR_VALIDATION_FAILURE", "EVIDENCE_REPAIR_PROVIDER_FAILURE", "EVIDENCE_REPAIR_MISSING_RESULT", "EVIDENCE_REPAIR_MAPPING_FAILURE",
+    "JSON_TRUNCATION", "STRUCTURED_OUTPUT_INVALID", "SEMANTIC_CONTRACT_INVALID", "PROVIDER_FAILURE", "MISSING_RESULT",
+)
 
-def failure_category(response: Column, fields: list[str], evidence: Column) -> Column:
-    """Why an attempt failed, null if it didn't: no response, a refusal, no JSON, fields missing, or a quote that isn't found once."""
-    lacking = F.lit(False)
-    for f in fields:
-        lacking = lacking | F.get_json_object(response, f"$.{f}").isNull()
-    return (
-        F.when(response.isNull(), FAILURES["missing"]).when(refused(response), FAILURES["provider"]).when(truncated_json(response), FAILURES["cut"])
-        .when(F.try_parse_json(response).isNull() | lacking, FAILURES["structure"]).when(evidence != "matched", FAILURES["evidence"])
-    )
 
+def json_category(response: Column, stop: Column) -> Column:
+    """Of a response that is no JSON: was it cut off, or is it broken elsewhere; null if it is JSON."""
+    cut = (stop["place"] >= F.greatest(F.length(response) - 1, F.lit(0))) & stop["reason"].isin(*CUT)
+    return F.when(stop["reason"].isNotNull(), F.when(cut, "JSON_TRUNCATION").otherwise("STRUCTURED_OUTPUT_INVALID"))
 
-def hostility_error(presence: Column, target: Column, reasoning: Column, spans: Column, present: tuple[str, ...], targets: tuple[str, ...], none: str = "NONE", longest: int = 1000) -> Column:
-    """The first broken rule of a second pass's label; null if it is valid.  Only a label that is YES has a target and evidence."""
-    yes = presence == "YES"
+
+def failure_category(status: Column, repair: Column, broken: Column, invalid: Column) -> Column:
+    """Why an attempt failed, null if it didn't.
+
+    ``status``: missing, mapping_error, provider_failure, or anything else for an answer.  ``repair``: it was to mend evidence only.
+    ``broken``: what ``json_category`` says of the answer; ``invalid``: the category of the first rule that it breaks.
+    """
+    either = lambda first, again: F.when(repair, again).otherwise(first)
     return (
-        F.when(~F.coalesce(presence.isin(*present), F.lit(False)), "PRESENCE_UNKNOWN").when(~F.coalesce(target.isin(*targets), F.lit(False)), "TARGET_UNKNOWN")
-        .when(F.length(reasoning) > longest, "REASONING").when(spans.isNull() | F.exists(spans, lambda s: F.coalesce(s, F.lit("")) == ""), "EVIDENCE_FIELDS")
-        .when(yes & (target == none), "YES_WITHOUT_TARGET").when(~yes & (target != none), "TARGET_WITHOUT_YES").when(yes & (F.size(spans) == 0), "YES_WITHOUT_EVIDENCE")
+        F.when(status == "missing", either("MISSING_RESULT", "EVIDENCE_REPAIR_MISSING_RESULT"))
+        .when(status == "mapping_error", either("STRUCTURED_OUTPUT_INVALID", "EVIDENCE_REPAIR_MAPPING_FAILURE"))
+        .when(status == "provider_failure", either("PROVIDER_FAILURE", "EVIDENCE_REPAIR_PROVIDER_FAILURE"))
+        .when(broken.isNotNull(), broken).when(invalid.isNotNull(), F.when(repair, "EVIDENCE_REPAIR_VALIDATION_FAILURE").otherwise(invalid))
     )
 
 
+def categories(df: DataFrame, category: str) -> DataFrame:
+    """How many rows each category has, categories without rows too."""
+    known = df.sparkSession.createDataFrame([(c,) for c in CATEGORIES], f"{category} string")
+    return known.join(df.groupBy(category).agg(F.count("*").alias("n")), category, "left").select(category, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def effective(rows: DataFrame, group: str, valid: Column, repaired: Column, refused_: Column) -> DataFrame:
     """Rows of a result by what they count as: valid, repaired, refused, or invalid, in this order; the four add up to all."""
     kind = F.when(valid, "valid").when(repaired, "repaired").when(refused_, "refused").otherwise("invalid")

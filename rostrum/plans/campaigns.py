@@ -47,31 +47,6 @@ def bytes_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.year("ts").cast("long").alias("year")).agg(F.count("*").alias("n_files"), F.sum(F.octet_length("props")).alias("n_bytes"))
 
 
-@query("""with r as (select event_id, event_id % 6 as how, event_type, case event_id % 6 when 0 then null when 1 then left(props, 5) when 2 then replace(props, ':', ';') when 3 then '{"promptFeedback":{"blockReason":"PROHIBITED_CONTENT"}}' when 4 then '{"x":1}' else props end as response from events)
-    select case when response is null then 'MISSING_RESULT' when how = 3 then 'PROVIDER_FAILURE' when how = 1 then 'JSON_TRUNCATION' when not json_valid(response) or json_extract_string(case when json_valid(response) then response end, '$.k') is null then 'STRUCTURED_OUTPUT_INVALID'
-        when event_type = 'error' then 'EVIDENCE_RESOLUTION_FAILURE' end as category, count(*) as n from r group by 1""")
-def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    how, props = F.col("event_id") % 6, F.col("props")
-    response = (
-        F.when(how == 0, F.lit(None)).when(how == 1, F.left(props, F.lit(5))).when(how == 2, F.replace(props, F.lit(":"), F.lit(";")))
-        .when(how == 3, '{"promptFeedback":{"blockReason":"PROHIBITED_CONTENT"}}').when(how == 4, '{"x":1}').otherwise(props)
-    )
-    found = F.when(F.col("event_type") == "error", "ambiguous").otherwise("matched")
-    return table(spark, sf_dir, "events").groupBy(rules.failure_category(response, ["k"], found).alias("category")).agg(F.count("*").alias("n"))
-
-
-@query("""with p as (select doc_id, case doc_id % 5 when 0 then 'YES' when 1 then 'MAYBE' when 2 then null else 'NO' end as presence, case when toxic = 1 then 'OPPOSING_PARTISAN_TARGET' when doc_id % 7 = 0 then 'SOMEONE' else 'NONE' end as target, doc_id % 3 as n from labels)
-    select doc_id, case when presence is null or presence not in ('YES', 'NO', 'UNCLEAR') then 'PRESENCE_UNKNOWN' when target = 'SOMEONE' then 'TARGET_UNKNOWN' when presence = 'YES' and target = 'NONE' then 'YES_WITHOUT_TARGET' when presence <> 'YES' and target <> 'NONE' then 'TARGET_WITHOUT_YES'
-        when presence = 'YES' and n = 0 then 'YES_WITHOUT_EVIDENCE' end as error, coalesce(presence = 'YES' and target = 'OPPOSING_PARTISAN_TARGET', false) as partisan from p""")
-def hostility_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    presence = F.when(i % 5 == 0, "YES").when(i % 5 == 1, "MAYBE").when(i % 5 == 2, F.lit(None)).otherwise("NO")
-    target = F.when(F.col("toxic") == 1, "OPPOSING_PARTISAN_TARGET").when(i % 7 == 0, "SOMEONE").otherwise("NONE")
-    spans = F.array_repeat(F.lit("said"), (i % 3).cast("int"))
-    error = rules.hostility_error(presence, target, F.lit("why"), spans, ("YES", "NO", "UNCLEAR"), ("OPPOSING_PARTISAN_TARGET", "NONE"))
-    return table(spark, sf_dir, "labels").select(i, error.alias("error"), rules.partisan(presence, target).alias("partisan"))
-
-
 @query("""select event_id % 40 as campaign, count(*) filter (where event_type = 'purchase') as n_valid, count(*) filter (where event_type <> 'purchase' and value > 50) as n_repaired,
     count(*) filter (where event_type = 'error' and not coalesce(value > 50, false)) as n_refused, count(*) filter (where event_type not in ('purchase', 'error') and not coalesce(value > 50, false)) as n_invalid, count(*) as n_all from events group by 1""")
 def effective_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

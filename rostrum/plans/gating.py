@@ -55,22 +55,6 @@ def ruling_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.ruling_errors(rows.filter(i % 3 == 0), ruled.unionByName(ruled.filter(i % 24 == 0)), "doc_id")
 
 
-VALUES = [
-    '{"hostility_present":"NO","target":"N/A","evidence_spans":[]}', '{"hostility_present":"YES","target":"UNSURE","evidence_spans":[{"start_offset":0,"end_offset":4,"text":"said"}]}', "[1]",
-    '{"target":"N/A","evidence_spans":[]}', '{"hostility_present":"MAYBE","target":"N/A","evidence_spans":[]}', '{"hostility_present":"YES","target":"UNSURE","evidence_spans":[{"start_offset":4,"end_offset":4,"text":"said"}]}',
-    '{"hostility_present":"NO","target":"UNSURE","evidence_spans":[]}', '{"hostility_present":"YES","target":"UNSURE","evidence_spans":[{"start_offset":true,"end_offset":4,"text":"said"}]}', None,
-]
-
-
-@query("""select doc_id, case when doc_id % 19 = 0 then 'TASK_DIFFERS' when doc_id % 9 in (2, 8) then 'VALUES_NOT_AN_OBJECT' when doc_id % 23 = 0 then 'POLICY_FIELDS' when doc_id % 9 = 3 then 'VALUE_FIELDS' when doc_id % 9 = 4 then 'LABEL_UNKNOWN'
-    when doc_id % 9 in (5, 7) then 'SPANS_INVALID' when doc_id % 9 = 6 then 'INCONSISTENT' end as error from labels""")
-def prediction_row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    values = F.element_at(F.array(*map(F.lit, VALUES)), (i % 9 + 1).cast("int"))
-    error = gates.hostility_row_error(F.when(i % 19 == 0, "policy").otherwise("hostility"), values, [F.when(i % 23 == 0, "true"), F.lit(None).cast("string")])
-    return table(spark, sf_dir, "labels").select(i, error.alias("error"))
-
-
 @query("""select doc_id, case when lang <> 'en' then 'provider' when doc_id % 4 <> 0 and doc_id % 6 = 1 then 'prompt_version' end as error from documents""")
 def provenance_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
@@ -78,15 +62,6 @@ def provenance_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(i, gates.provenance_error(row, {"provider": "en", "prompt_version": "v1", "execution_mode": "batch"}).alias("error"))
 
 
-@query("""select doc_id, case when doc_id % 4 >= 2 then 'NOT_REPAIRABLE' when doc_id % 3 = 2 then 'OUTPUT_FIELDS' when doc_id % 3 = 1 then 'NOT_ONE_PASSAGE' when toxic = 1 then 'NOT_RESOLVED' end as error from labels""")
-def repair_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, one = F.col("doc_id"), '{"evidence_spans":[{"text":"a"}]'
-    presence = F.when(i % 4 == 0, "YES").when(i % 4 == 1, "UNSURE").when(i % 4 == 2, "NO")
-    output = F.when(i % 3 == 0, one + "}").when(i % 3 == 1, '{"evidence_spans":[]}').otherwise(one + ',"target":"UNSURE"}')
-    error = gates.repair_error(presence, F.lit("UNSURE"), output, F.when(F.col("toxic") == 1, "ambiguous").otherwise("matched"))
-    return table(spark, sf_dir, "labels").select(i, error.alias("error"))
-
-
 @query("""with p as (select c_custkey as k from customer where c_custkey % 4 <> 0), o as (select o_custkey as k, count(*) as n, count(*) filter (where o_orderstatus not in ('F', 'O')) as u from orders group by 1),
     j as (select count(*) filter (where p.k is not null) as n_planned, count(*) filter (where o.k is null) as n_missing, count(*) filter (where p.k is null) as n_outside, count(*) filter (where n > 1) as n_repeated, coalesce(sum(u), 0)::bigint as n_unknown from p full join o on p.k = o.k)
     select *, n_missing + n_outside + n_repeated + n_unknown = 0 as complete from j""")
