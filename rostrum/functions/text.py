@@ -32,7 +32,8 @@ def _beyond_ascii(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    return F.coalesce(_nfc(_beyond_ascii(c)), c)
+    """Below U+0300, where combining marks start, every text is composed already, so only texts beyond go to Python."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\u02FF]"), c)), c)
 
 
 def casefold(c: Column) -> Column:

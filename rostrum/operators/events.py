@@ -65,10 +65,6 @@ def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def same_set(a: DataFrame, b: DataFrame, key: str) -> bool:
-    return a.select(key).exceptAll(b.select(key)).isEmpty() and b.select(key).exceptAll(a.select(key)).isEmpty()
-
-
 def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -112,7 +108,3 @@ def responses(plan: DataFrame, responses: DataFrame, key: str, index: str, ok: C
 def conflicts(loaded: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
     """Keys that are there with another content."""
     return loaded.select(key, F.col(digest).alias("_old")).join(incoming.select(key, digest), key).filter(~F.col("_old").eqNullSafe(F.col(digest))).select(key)
-
-
-def to_append(loaded: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    return incoming.join(loaded.select(key), key, "left_anti")

@@ -35,7 +35,8 @@ def confusion(df: DataFrame, truth: str, said: str, classes: list[str]) -> DataF
     grid = [(a, b) for a in classes for b in [*classes, NO_CLASS]]
     pairs = df.sparkSession.createDataFrame(grid, "truth string, said string")
     n = df.groupBy(F.col(truth).alias("truth"), F.coalesce(said, F.lit(NO_CLASS)).alias("said")).agg(F.count("*").alias("n"))
-    return F.broadcast(pairs).join(n, ["truth", "said"], "left").select("truth", "said", F.coalesce("n", F.lit(0)).alias("n"))
+    n = n.filter(F.col("truth").isin(classes) & F.col("said").isin(*classes, NO_CLASS))  # as many as the grid has, at most
+    return pairs.join(F.broadcast(n), ["truth", "said"], "left").select("truth", "said", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def per_class(df: DataFrame, truth: str, said: str, classes: list[str]) -> DataFrame:

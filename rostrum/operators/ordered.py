@@ -1,23 +1,22 @@
-"""Operators on ordered rows: as-of and range joins, forward fill, segments, gaps, numbering, greedy packing."""
+"""Operators on ordered rows: as-of and range joins, forward fill, segments, gaps, numbering."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostrum.storage import settled
+
 
 def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     """Rows numbered from 1 in a global order that must be total.
 
     Rows are sorted over many partitions, counted by partition, and numbered from there.  Only the counts, one a partition, pass
-    through the driver.  The sorted rows are kept, so both passes see the same partitions.
+    through the driver.  The sorted rows are kept in the shared folder, so both passes see the same partitions.
     """
-    parts = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist()
+    parts = settled(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     upto, starts = 0, {}
     for part, n in sorted(tuple(r) for r in parts.groupBy("_part").count().collect()):
         starts[part], upto = upto, upto + n
@@ -32,7 +31,7 @@ def prefix_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
 
     As in ``numbered``, rows are sorted over many partitions, and only one number a partition passes through the driver.
     """
-    parts = df.orderBy(order).withColumn("_part", F.spark_partition_id()).persist()
+    parts = settled(df.orderBy(order).withColumn("_part", F.spark_partition_id()))
     upto, starts = None, []
     for part, most in sorted(tuple(r) for r in parts.groupBy("_part").agg(F.max(value)).collect()):
         starts.append((part, upto))
@@ -83,12 +82,6 @@ def with_boundaries(df: DataFrame, partition: str, order: list, tag: Column, is_
     return df.withColumn("segment", F.sum(F.col("boundary_reason").isNotNull().cast("int")).over(w))
 
 
-def gaps(df: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """Rows whose number isn't their place, from 0."""
-    placed = df.withColumn("_place", F.row_number().over(W.partitionBy(*partition).orderBy(order)) - 1)
-    return placed.filter(F.col("_place") != F.col(order)).drop("_place")
-
-
 def spans_overlap(spans: Column) -> Column:
     """Does a span, in the order given, start before the furthest end so far."""
     return F.aggregate(
@@ -96,29 +89,3 @@ def spans_overlap(spans: Column) -> Column:
         lambda a, s: F.struct(F.greatest(a["end"], s["end_offset"].cast("long")).alias("end"), (a["bad"] | (s["start_offset"] < a["end"])).alias("bad")),
         lambda a: a["bad"],
     )
-
-
-def greedy_chunks(df: DataFrame, campaign: str, order: str, tokens: str, most_records: int, most_tokens: int) -> DataFrame:
-    """Rows with ``chunk_number``, from 1: in order, a chunk takes rows until one would pass either limit.
-
-    Where a chunk starts depends on where the one before ended, so a campaign is read in order by one task; it streams, with three
-    numbers as its state.  A row over the token limit by itself fails the job.
-    """
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, chunk, n, used = object(), 0, 0, 0
-        for batch in batches:
-            out = []
-            for key, need in zip(batch.column(campaign).to_pylist(), batch.column(tokens).to_pylist()):
-                if need > most_tokens:
-                    raise ValueError(f"a record of {key} needs {need} tokens; a chunk takes {most_tokens}")
-                if key != of:
-                    of, chunk, n, used = key, 1, 0, 0
-                elif n + 1 > most_records or used + need > most_tokens:
-                    chunk, n, used = chunk + 1, 0, 0
-                n, used = n + 1, used + need
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk_number"])
-
-    sorted_rows = df.repartition(campaign).sortWithinPartitions(campaign, order)
-    return sorted_rows.mapInArrow(stream, T.StructType([*df.schema.fields, T.StructField("chunk_number", T.LongType())]))

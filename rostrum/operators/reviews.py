@@ -107,9 +107,5 @@ def with_first_fragment(turns: DataFrame, fragments: DataFrame, columns: list[st
     return turns.join(own, ["source_file", "first_fragment_sequence"])
 
 
-def projected(total: Column, sample: Column, population: int) -> Column:
-    return metrics.ratio(total * F.lit(population), sample)
-
-
 def top_per(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

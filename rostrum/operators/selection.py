@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -100,8 +101,13 @@ def hamilton(populations: DataFrame, stratum: str, count: str, size: int) -> Dat
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, allocation: DataFrame, seed: str) -> DataFrame:
-    """Of each stratum the allocated number of rows in seeded order, with ``sample_rank``."""
-    ranked = df.withColumn("sample_rank", F.row_number().over(W.partitionBy(stratum).orderBy(keys.seeded(F.col(key), seed, "sha256"), key)))
+    """Of each stratum the allocated number of rows in seeded order, with ``sample_rank``.
+
+    The largest allocation is looked up first: as a number in the plan it lets every task keep its own first rows of each stratum and shuffle
+    only these (up to ``spark.sql.window.group.limit.threshold``, 1,000 by default), so no task sorts a whole stratum.
+    """
+    most = allocation.agg(F.coalesce(F.max("allocated"), F.lit(0))).first()[0]
+    ranked = df.withColumn("sample_rank", F.row_number().over(W.partitionBy(stratum).orderBy(keys.seeded(F.col(key), seed, "sha256"), key))).filter(F.col("sample_rank") <= most)
     return ranked.join(allocation, stratum).filter("sample_rank <= allocated").drop("allocated")
 
 
@@ -131,10 +137,6 @@ def first_middle_last(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return df.filter(F.col("_n").isin(1) | (F.col("_n") == F.col("_all")) | (F.col("_n") == F.floor(F.col("_all") / 2) + 1)).drop("_n", "_all")
 
 
-def first_of_each(df: DataFrame, group: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter("_n = 1").drop("_n")
-
-
 def page(df: DataFrame, order: Iterable, limit: int, offset: int = 0, most: int = 500) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(max(1, min(limit, most)))
 
@@ -144,6 +146,36 @@ def page_with_total(df: DataFrame, order: Iterable, limit: int, offset: int = 0)
     return page(df, order, limit, offset).withColumn("total", df.agg(F.count("*")).scalar())
 
 
+def json_contains(value: Column, wanted: object) -> Column:
+    """Does JSON, as VARIANT, contain what is wanted: an object every key with what is wanted there, a list something for every item, in any
+    order and however often; a scalar an equal one of its kind, with numbers by value.  At the top, a list contains its scalars too."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("NULL"))
+
+    def held(w: object) -> Callable[[Column], Column]:
+        return lambda i: inside(i, w)
+
+    def inside(v: Column, w: object) -> Column:
+        if isinstance(w, dict):
+            own = [inside(F.try_variant_get(v, f"$['{k}']", "variant"), x) for k, x in w.items()]
+            return reduce(Column.__and__, own, kind(v).startswith("OBJECT"))
+        if isinstance(w, list):
+            items = F.try_variant_get(v, "$", "array<variant>")
+            own = [F.coalesce(F.exists(items, held(x)), F.lit(False)) for x in w]
+            return reduce(Column.__and__, own, kind(v).startswith("ARRAY"))
+        if w is None:
+            return kind(v) == "VOID"
+        if isinstance(w, bool):
+            return (kind(v) == "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "boolean") == w, F.lit(False))
+        if isinstance(w, (int, float)):
+            number = kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            return number & F.coalesce(F.try_variant_get(v, "$", "decimal(38,18)") == F.lit(Decimal(str(w))).cast("decimal(38,18)"), F.lit(False))
+        return (kind(v) == "STRING") & F.coalesce(F.try_variant_get(v, "$", "string") == w, F.lit(False))
+
+    if isinstance(wanted, (dict, list)):
+        return inside(value, wanted)
+    return inside(value, wanted) | inside(value, [wanted])
+
+
 def same_configuration(a: str, b: str, fields: Iterable[str]) -> Column:
     """Do two structs agree in all fields; nulls agree with nulls."""
     out = F.lit(True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text
-from rostrum.operators import checks, events, exports, ordered
+from rostrum.operators import checks, events, exports, ordered, reviews
 from rostrum.plans.registry import query
 from rostrum.sources.tables import table
 
@@ -38,8 +38,10 @@ def event_counts_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flag_agg_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.when(F.col("event_type") == "error", F.struct("ts", "event_id"))
     ids = F.transform(F.array_sort(F.collect_list(wanted)), lambda s: s["event_id"].cast("string"))
-    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("event_type") == "signup", F.col("event_id")))), 1, 20)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(ids, ",").alias("errors"), F.array_join(first.cast("array<string>"), ",").alias("first_signups"))
+    log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    first = reviews.top_per(log.filter("event_type = 'signup'"), "user_id", ["event_id"], 20).groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("_first"))
+    own = log.groupBy("user_id").agg(F.array_join(ids, ",").alias("errors")).join(first, "user_id", "left")
+    return own.select("user_id", "errors", F.coalesce(F.array_join(F.col("_first").cast("array<string>"), ","), F.lit("")).alias("first_signups"))
 
 
 @query("select c_custkey, exists (select 1 from orders o where o.o_custkey = c_custkey and o_orderstatus = 'P') as has_partial from customer")

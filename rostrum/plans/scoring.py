@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text
-from rostrum.operators import evidence, metrics, ordered, rules
+from rostrum.operators import chunking, evidence, metrics, rules
 from rostrum.plans.registry import query
 from rostrum.sources.tables import table
 
@@ -138,7 +138,7 @@ PACKED = """with recursive d as (select source, doc_id, 4131 + greatest(1, ceil(
 @query(PACKED)
 def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", text.tokens_estimated(F.col("text")).alias("tokens"))
-    return ordered.greedy_chunks(rows, "source", "doc_id", "tokens", 20, 60_000).select("doc_id", "chunk_number")
+    return chunking.greedy_chunks(rows, "source", "doc_id", "tokens", 20, 60_000).select("doc_id", "chunk_number")
 
 
 LABEL = """select doc_id, quality = 0 as np, case when quality = 1 then 'D' || (doc_id % 6) end as p, [x for x in ['D' || (doc_id % 4), 'D' || (doc_id % 5)] if doc_id % 3 <> 0] as s from labels"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import keys, text
-from rostrum.operators import ordered
+from rostrum.operators import ordered, streams
 
 # Fixed values of the format.
 ROOT, SPEECH = "debates", "speech"
@@ -57,9 +57,9 @@ def changed(files: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def inventory_hash(files: DataFrame) -> DataFrame:
-    """One row: a hash of paths, sizes and contents in order of path.  A line a file, so it is small beside the files."""
+    """One row: how many files, and a hash of paths, sizes and contents in order of path."""
     line = F.concat("source_file", F.char(F.lit(0)), F.col("length").cast("string"), F.char(F.lit(0)), F.sha2("content", 256), F.lit("\n"))
-    return files.select("source_file", line.alias("l")).agg(F.sha2(F.array_join(keys.ordered_ids(F.col("source_file"), F.col("l")), ""), 256).alias("inventory_sha256"))
+    return streams.streamed_hash(files, ["source_file"], line).select(F.col("n").alias("n_files"), F.col("sha256").alias("inventory_sha256"))
 
 
 def _nfc(s: str) -> str:

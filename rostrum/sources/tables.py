@@ -1,4 +1,4 @@
-"""Readers of typed tables: CSV frames as strings, JSON lines with their bad lines, Parquet by declared schema."""
+"""Readers of typed tables: JSON lines with their bad lines, Parquet by declared schema."""
 
 from __future__ import annotations
 
@@ -10,14 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def csv_frame(spark: SparkSession, path: str, columns: list[str], required: list[str]) -> DataFrame:
-    """All columns as strings; quoted cells may hold line ends; empty cells are null."""
-    if missing := set(required) - set(columns):
-        raise ValueError(f"columns missing: {sorted(missing)}")
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").schema(schema).csv(path).select(required)
-
-
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the text of bad lines."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}

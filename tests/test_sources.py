@@ -1,14 +1,17 @@
 """XML archives, tables, sinks and the stream."""
 
+import csv
 import hashlib
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import evidence, exports, rules, selection
 from rostrum.plans import corpus
-from rostrum.sources import debates, tables
+from rostrum.sources import csv_ranges, debates, tables
 from rostrum.streaming import logs
 
 GOOD = """<debates>
@@ -66,12 +69,13 @@ def test_only_changed_files(spark, archive):
     files = debates.discover(spark, archive)
     prior = files.select("source_file", F.sha2("content", 256).alias("source_file_sha256")).filter("source_file <> '2010/2010-02-07.xml'")
     assert [r.source_file for r in debates.changed(files, prior).collect()] == ["2010/2010-02-07.xml"]
-    assert len(debates.inventory_hash(files).first()[0]) == 64
+    lines = "".join(f"{r.source_file}\0{r.length}\0{hashlib.sha256(r.content).hexdigest()}\n" for r in files.orderBy("source_file").collect())
+    assert tuple(debates.inventory_hash(files).first()) == (files.count(), hashlib.sha256(lines.encode()).hexdigest())
 
 
 def test_tables_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿k,t,x\n1,"two\nlines",\n2,"a ""q""",z\n')
-    rows = tables.csv_frame(spark, str(tmp_path / "a.csv"), ["k", "t", "x"], ["t", "x"]).collect()
+    rows = csv_ranges.csv_frame(spark, str(tmp_path / "a.csv"), ["k", "t", "x"], ["t", "x"]).collect()
     assert [tuple(r) for r in rows] == [("two\nlines", None), ('a "q"', "z")]
     (tmp_path / "a.jsonl").write_text('{"id":"a","n":1}\nnot json\n{"id":"b","n":2}\n{"id":"a","n":3}\n')
     good, bad = tables.json_lines(spark, str(tmp_path / "a.jsonl"), "id string, n int")
@@ -88,23 +92,76 @@ def test_tables_and_sinks(spark, tmp_path):
         tables.with_schema(spark, str(tmp_path / "p"), "k int")
 
 
-def test_stream_keeps_the_latest(spark, tmp_path, pytestconfig):
-    events = spark.read.parquet(f"{pytestconfig.DATA}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    for k in range(3):
-        events.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = logs.new_files(spark, str(tmp_path / "in"), "event_id long, ts timestamp, user_id long, event_type string")
-        logs.keep_latest(stream, "user_id", ["ts", "event_id"], str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(120)
-    from rostrum.operators.events import latest
+KINDS = "event_id long, ts timestamp, user_id long, event_type string, used long"
 
-    want = latest(events, "user_id", "ts", "event_id")
-    got = spark.read.parquet(str(tmp_path / "state/v=2"))
+
+def folder_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_stream_keeps_latest_and_sums(spark, tmp_path, pytestconfig):
+    """Eleven small batches after a large one, with a restart before each: the state is right and no batch of itself writes the state again."""
+    events = spark.read.parquet(f"{pytestconfig.DATA}/events.parquet").select("event_id", "ts", "user_id", "event_type", (F.col("event_id") % 5).alias("used"))
+    events = events.withColumn("user_id", F.col("event_id") % 400)
+    batches = [events.filter("event_id % 50 >= 11")] + [events.filter(f"event_id % 50 = {k}") for k in range(11)]
+    order, state = ["ts", "event_id"], tmp_path / "state"
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = logs.new_files(spark, str(tmp_path / "in"), KINDS)
+        logs.keep_latest(stream, "user_id", order, str(state), str(tmp_path / "check"), ["used"], fanout=3).awaitTermination(120)
+    want = logs.reduced(events, "user_id", order, ["used"])
+    got = logs.standing(spark, str(state), KINDS, "user_id", order, ["used"], fanout=3)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert logs.parts(11, 3) == ["level=2/upto=8", "level=1/upto=11"] and logs.parts(1, 3) == ["level=0/upto=0", "level=0/upto=1"]
+    small = [folder_bytes(state / f"level=0/upto={k}") for k in range(1, 12)]
+    assert max(small) < 1.5 * min(small) and max(small) < folder_bytes(state / "level=0/upto=0")
+    left = logs.remaining(spark.range(410).select(F.col("id").alias("user_id")), got.withColumn("tries", F.col("used") % 4), "user_id", "event_type", ("purchase",), "tries", 3)
+    kept = {r.user_id for r in got.collect() if r.event_type == "purchase" or r.used % 4 >= 3}
+    assert {r.user_id for r in left.collect()} == set(range(410)) - kept
+
+
+def test_batch_that_runs_again(spark, tmp_path):
+    """A stream that lost its checkpoint's last entry writes the same folders again."""
+    (tmp_path / "in").mkdir()
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (2, "c", 1)], "k long, s string, used long")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
+        logs.keep_latest(logs.new_files(spark, str(tmp_path / "in"), "k long, s string, used long"), "k", ["s"], str(tmp_path / "state"), str(tmp_path / f"check{_}"), ["used"]).awaitTermination(60)
+    got = logs.standing(spark, str(tmp_path / "state"), "k long, s string, used long", "k", ["s"], ["used"])
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 12), (2, "c", 1)]
+
+
+@pytest.mark.parametrize("split", [1, 2, 5, 17, 1 << 20])
+def test_csv_by_ranges(spark, tmp_path, split):
+    rng = random.Random(split)
+    cells = ["", "a", "two\nlines", 'say ""x""', "é😀", "c,d", "\r\n", " ", "\n\n", '""', "line\n"]
+    texts = {}
+    for name, end, mark in (("a.csv", "\n", "\ufeff"), ("b.csv", "\r\n", "")):
+        rows = [[rng.choice(cells) for _ in range(3)] for _ in range(12 if split < 17 else 300)]
+        quote = lambda c: f'"{c}"' if set(c) & set('",\n\r') or rng.random() < 0.2 else c
+        texts[name] = mark + end.join(["k,t,x", *(",".join(map(quote, r)) for r in rows)]) + rng.choice(["", end])
+        (tmp_path / name).write_bytes(texts[name].encode())
+    want = []
+    for text in texts.values():
+        want += [(r[1], r[2]) for r in list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), quoting=csv.QUOTE_NOTNULL))[1:]]
+    got = csv_ranges.csv_frame(spark, str(tmp_path / "*.csv"), ["k", "t", "x"], ["t", "x"], split)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("k string, t string, x string").csv(str(tmp_path / "a.csv")).count()
+    assert csv_ranges.csv_frame(spark, str(tmp_path / "a.csv"), ["k", "t", "x"], ["t"], split).count() == plain
+
+
+def test_csv_of_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("k,t")
+    assert csv_ranges.csv_frame(spark, str(tmp_path / "*.csv"), ["k", "t"], ["t"]).count() == 0
+    with pytest.raises(ValueError):
+        csv_ranges.csv_frame(spark, str(tmp_path), ["k"], ["t"])
 
 
 def test_evidence_offsets():
     source = "He said “we  can’t — ever” 😀 again, again"
-    assert evidence.aligned(source, "we can't - ever") == ("matched", 9, 25)
-    assert evidence.aligned(source, "again")[0] == "ambiguous" and evidence.aligned(source, "never")[0] == "unmatched" and evidence.aligned("aaa", "aa")[0] == "ambiguous" and evidence.aligned(None, None)[0] == "unmatched"
+    assert evidence.resolved(source, ["we can't - ever"])[0] == ("matched", 9, 25)
+    assert evidence.resolved(source, ["again"])[0][0] == "ambiguous" and evidence.resolved(source, ["never"])[0][0] == "unmatched" and evidence.resolved("aaa", ["aa"])[0][0] == "ambiguous" and evidence.resolved(None, [None])[0][0] == "unmatched"
 
 
 def test_rules(spark):
