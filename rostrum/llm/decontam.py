@@ -10,6 +10,9 @@ Hamming distances of embeddings grow with the square of the edits, so long items
 class; a part's windows start at its first words, and those of documents at every ``stride``-th word, so that one lines up.  Where
 keys meet, the edit distance of the whole item to the passage is computed exactly, and up to its share of edits is a hit.
 
+Items share passages, such as instructions, and then keys.  Of the items of such a key only those are looked at that can be there: an item
+with more rare words than it may have edits has one of them in any passage within the distance, so it is looked up by those.
+
 Null and empty texts, and items without words, have no hit.  Repeated rows each give theirs.  A window that runs over its text's end
 reads a symbol of its own there, so what is found in a text depends on that text alone.  Long texts are read as a whole by one
 task; the work in them is in proportion to their words.
@@ -35,6 +38,8 @@ SIMILARITY, STRIDE = 0.8, 4
 WALKS, KEYS, SAMPLED = 4, 9, 4
 #: Words of a part at most.
 LONGEST = 32
+#: Items whose windows share a key, from which on only those are looked at that have a rare word nearby, and words between such looks.
+SHARED, NEARBY = 8, 64
 #: Size classes: a part's windows have the largest that leaves room for all its starts.
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Words of the benchmark that are searched for at a time, which bounds what is sent to the executors; words of documents looked at
@@ -64,6 +69,14 @@ class Items:
         in_items = np.bincount([s for w in self.words for s in set(w)], minlength=len(self.symbol) + 1)
         #: words of few items; of these, a window that matches has as many as the part's window, but for one an edit
         self.rare = (in_items > 0) & (in_items <= max(2, len(self.words) // 50))
+        #: items by their rare words; an item with more rare words than it may have edits is only found where one of them is
+        self.having: dict[int, list[int]] = {}
+        for k, words in enumerate(self.words):
+            for s in {s for s in words if self.rare[s]}:
+                self.having.setdefault(s, []).append(k)
+        self.marked = [sum(bool(self.rare[s]) for s in w) > most for w, most in zip(self.words, self.most)]
+        #: words before and after a window's start that a passage of any item can reach
+        self.reach = max((len(w) + 2 * m for w, m in zip(self.words, self.most)), default=0)
         parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for k, words in enumerate(self.words):
             n = -(-len(words) // LONGEST)
@@ -88,7 +101,18 @@ class Items:
         order = np.argsort(key, kind="stable")
         there = np.zeros(LOW + 1, bool)
         there[key & LOW] = True
-        return least, size - max(p[3] for p in parts), there, key[order], item[order], start[order]
+        key, item, start = key[order], item[order], start[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(first[1:], len(key))
+        shared = {}
+        for a, b in zip(first.tolist(), ends.tolist()):
+            if b - a > SHARED:
+                of: dict[int, list[int]] = {}
+                for k, s in zip(item[a:b].tolist(), start[a:b].tolist()):
+                    of.setdefault(k, []).append(s)
+                if len(of) > SHARED:
+                    shared[a] = {k: s for k, s in of.items() if self.marked[k]}, [(k, x) for k, s in of.items() if not self.marked[k] for x in s]
+        return least, size - max(p[3] for p in parts), there, key, item, start, shared
 
 
 @cache
@@ -158,8 +182,34 @@ def _search(items: Items, codes: list[np.ndarray], found: list[dict[int, tuple[i
     text_of = np.repeat(np.arange(len(codes)), size)
     place, stop = np.arange(len(code)) - first[:-1][text_of], first[1:][text_of]
     tried: dict[tuple[int, int], list[int]] = {}
+    near_by: dict[tuple[int, int], list[int]] = {}
     known = np.concatenate([[0], np.cumsum(code > 0)])
-    for (width, stride), (least, least_known, there, keys, item, begin) in items.tables.items():
+
+    def look(text: int, k: int, from_: int) -> None:
+        """Is item k in the text where it would start at about ``from_``."""
+        n, most = len(items.words[k]), items.most[k]
+        near = most // 2  # a passage looked at is so much longer at both ends that starts this near need no other look
+        before = tried.setdefault((text, k), [])
+        if found[text].get(k, (1, 0))[0] == 0 or any(abs(x - from_) <= near for x in before):
+            return
+        before.append(from_)
+        a = max(0, from_ - most - near)
+        passage = codes[text][a : max(0, from_ + n + most + near)].tolist()
+        if sum(map(items.masks[k].__contains__, passage)) < n - most:
+            return
+        d, end = best_match(items.masks[k], n, passage)
+        if d <= most and (k not in found[text] or (d, a + end) < found[text][k]):
+            found[text][k] = d, a + end
+
+    def around(text: int, mine: int) -> list[int]:
+        """Items with a rare word within reach of a place in the text, and of the places next to it."""
+        at = text, mine // NEARBY
+        if at not in near_by:
+            region = codes[text][max(0, at[1] * NEARBY - items.reach) : (at[1] + 1) * NEARBY + items.reach]
+            near_by[at] = sorted({k for s in set(region[items.rare[region]].tolist()) for k in items.having[s]})
+        return near_by[at]
+
+    for (width, stride), (least, least_known, there, keys, item, begin, shared) in items.tables.items():
         every = np.flatnonzero(place % stride == 0)
         after = np.minimum(every + width, stop[every])
         some = (rare[after] - rare[every] >= least) & (known[after] - known[every] >= least_known)
@@ -170,22 +220,17 @@ def _search(items: Items, codes: list[np.ndarray], found: list[dict[int, tuple[i
             met = np.flatnonzero(there[key & LOW])
             for w, e in zip(met.tolist(), np.searchsorted(keys, key[met]).tolist()):
                 text, mine = int(text_of[at[w]]), int(place[at[w]])
+                if e in shared and keys[e] == key[w]:
+                    marked, others = shared[e]
+                    for k in around(text, mine):
+                        for s in marked.get(k, ()):
+                            look(text, k, mine - s)
+                    for k, s in others:
+                        look(text, k, mine - s)
+                    continue
                 while e < len(keys) and keys[e] == key[w]:
-                    k, from_ = int(item[e]), mine - int(begin[e])
+                    look(text, int(item[e]), mine - int(begin[e]))
                     e += 1
-                    n, most = len(items.words[k]), items.most[k]
-                    near = most // 2  # a passage looked at is so much longer at both ends that starts this near need no other look
-                    before = tried.setdefault((text, k), [])
-                    if found[text].get(k, (1, 0))[0] == 0 or any(abs(x - from_) <= near for x in before):
-                        continue
-                    before.append(from_)
-                    a = max(0, from_ - most - near)
-                    passage = codes[text][a : max(0, from_ + n + most + near)].tolist()
-                    if sum(map(items.masks[k].__contains__, passage)) < n - most:
-                        continue
-                    d, end = best_match(items.masks[k], n, passage)
-                    if d <= most and (k not in found[text] or (d, a + end) < found[text][k]):
-                        found[text][k] = d, a + end
 
 
 def blocks(benchmark: DataFrame, at_a_time: int = AT_A_TIME) -> Iterator[list[tuple[int, str | None]]]:

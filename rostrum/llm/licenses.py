@@ -19,7 +19,7 @@ ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: A text without any of these has no detection; CC_GATE stands for cc at a word's start.  They are looked for in the raw text, so each
 #: is of one word: what is between words there can be anything.
-GATES = ("licen", "copyright", "spdx", "domain", "reserved", "permission", "redistribution", "warrant", "creativecommons")
+GATES = ("licen", "copyright", "spdx", "domain", "reserved", "permission", "redistribution", "warrant", "creativecommons", "authorization")
 CC_GATE = r"(?<![0-9a-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]*(?:by|zero|0)"
 
 VERSION = r"(?: (?:version |v )?\d+(?: \d+){0,2})?(?: (?:or|and) (?:any )?later(?: version)?)?"
@@ -159,7 +159,7 @@ NAMES = [
 SENTENCES = [
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "sublicense", r"without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "permission notice shall", r"the above copyright notice and this permission notice (?:\S+ ){0,4}shall be included in all copies or substantial portions of the software"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice (?:\S+ ){0,4}shall be included in all copies or substantial portions of the software"),
     ("mit", "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit", "copyright holders be liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
     ("x11", "prior written authorization", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the (?:copyright holders?|\S+ consortium)"),
@@ -171,7 +171,7 @@ SENTENCES = [
     ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "prior written permission", r"to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd", "implied warranties", r"this software is provided by the (?:copyright holders|regents|authors?)(?: and contributors)? as is and any express or implied warranties"),
-    ("bsd", "copyright owner", r"in no event shall the copyright (?:owner|holder)s?(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", "special exemplary or consequential", r"in no event shall the copyright (?:owner|holder)s?(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages"),
     ("apache", "in compliance with", r"you may not use this (?:file|work|software) except in compliance with the licen[cs]e"),
     ("apache", "obtain a copy of", r"you may obtain a copy of the licen[cs]e at"),
     ("apache", "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),

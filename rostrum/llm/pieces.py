@@ -141,7 +141,7 @@ class Sampler:
         stop = np.cumsum(size)
         begin, end = np.repeat(stop - size, size), np.repeat(stop, size)
         place, long, piece, weight = self._edges(code, end)
-        order = np.argsort(place * 64 - long)  # by place, the longest piece first
+        order = np.lexsort((-long, place))  # by place, the longest piece first
         place, long, piece, weight = place[order], long[order], piece[order], weight[order]
         depth = place - begin[place]
         by_depth = np.argsort(depth, kind="stable")

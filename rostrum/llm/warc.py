@@ -138,7 +138,9 @@ class Reader(DataSourceReader):
 
         with store.open_input_file(partition.file) as file:
             for at, h, block in members(file, partition.start, partition.end):
-                payload = block.partition(b"\r\n\r\n")[2]
+                # only blocks of HTTP messages have a head before the payload; those of other records are payload as a whole
+                http = h.get("content-type", "").lower().startswith("application/http")
+                payload = block.partition(b"\r\n\r\n")[2] if http else block
                 whole = h["warc-type"] != "revisit"
                 digest = hashlib.sha256(payload).hexdigest() if whole else h.get("warc-payload-digest", "").removeprefix("sha256:") or None
                 length = len(payload) if whole else int(h.get("x-payload-length", 0))

@@ -57,6 +57,21 @@ def test_second_write_adds(spark, tmp_path):
     assert got == {k: len(h) for k, _, h in rows}
 
 
+def test_records_that_are_not_http(spark, tmp_path):
+    """Blocks of other records are payload as a whole, blank lines too."""
+    html = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nfirst\r\n\r\nsecond"
+    blocks = [("conversion", "text/plain", b"first\r\n\r\nsecond"), ("resource", "text/html", b"<p>\r\n\r\n</p>"), ("warcinfo", "application/warc-fields", b"software: x\r\nformat: y\r\n\r\n"), ("metadata", None, b""), ("response", "application/http; msgtype=response", html), ("request", "Application/HTTP;msgtype=request", b"GET / HTTP/1.1\r\n\r\n")]
+    whole = b""
+    for k, (kind, mime, block) in enumerate(blocks):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:x:%d>" % k, *([b"Content-Type: " + mime.encode()] if mime else []), b"Content-Length: %d" % len(block)]
+        whole += gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    want = [b.partition(b"\r\n\r\n")[2] if m and "http" in m.lower() else b for _, m, b in blocks]
+    for split in (1 << 20, 100):
+        got = {r.record_id: (r.record_type, bytes(r.payload), r.payload_bytes) for r in warc.read(spark, str(tmp_path), split).collect()}
+        assert got == {f"urn:x:{k}": (b[0], p, len(p)) for k, (b, p) in enumerate(zip(blocks, want))}
+
+
 def test_record_over_many_reads(tmp_path):
     payload = b"".join(hashlib.sha256(b"%d" % k).digest() for k in range(150_000))
     whole = b"".join(warc.member("response", f"urn:page:{k}", None, None, "0", p, len(p)) for k, p in enumerate([b"a", payload, b"b"]))

@@ -1,6 +1,7 @@
 """Recall of benchmark passages by length and place of edits, and op3's rows against all pairs."""
 
 import random
+import time
 
 import pytest
 
@@ -9,12 +10,12 @@ from rostrum.llm import decontam, queries
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
 
-def edited(words, n, where, rng):
-    """n edits at different words: anywhere, or among the first or last fifth."""
+def edited(words, n, where, rng, kinds="sid"):
+    """n edits at different words: anywhere, or among the first or last fifth.  kinds: substitutions, insertions, deletions."""
     size, out = len(words), list(words)
     among = {"spread": range(size), "start": range(max(n, size // 5)), "end": range(size - max(n, size // 5), size)}[where]
     for i in sorted(rng.sample(among, n), reverse=True):
-        kind = rng.choice("sid")
+        kind = rng.choice(kinds)
         if kind == "d":
             del out[i]
         else:
@@ -36,6 +37,38 @@ def test_recall_at_a_fifth_of_edits(length, where):
     assert [decontam.hits(items, [t])[0] for t in texts[:9]] == found[:9]
 
 
+@pytest.mark.parametrize("kinds", ["d", "i"])
+@pytest.mark.parametrize("length", [6, 15, 25, 32, 60, 300])
+def test_recall_of_deletions_and_insertions_alone(length, kinds):
+    rng = random.Random(length + len(kinds))
+    plain = [rng.choices(VOCABULARY, k=length) for _ in range(300)]
+    items = decontam.Items([(k, " ".join(w)) for k, w in enumerate(plain)])
+    texts = [" ".join(rng.choices(VOCABULARY, k=rng.randrange(50)) + edited(w, int(0.2 * length + 1e-9), "spread", rng, kinds) + rng.choices(VOCABULARY, k=30)) for w in plain]
+    assert sum(k in f for k, f in enumerate(decontam.hits(items, texts))) >= 0.9 * len(plain)
+
+
+def test_a_passage_that_all_items_share():
+    """1,000 items with one passage of 40 words: a text that holds it costs no more than twice a plain one; those that hold an item have it."""
+    rng = random.Random(5)
+    shared = [f"common{k}" for k in range(40)]
+    own = [[f"own{rng.randrange(30_000)}" for _ in range(25)] for _ in range(1000)]
+    items = decontam.Items([(k, " ".join(shared + w)) for k, w in enumerate(own)])
+    filler = lambda n: rng.choices(VOCABULARY, k=n)
+    plain = [" ".join(filler(300)) for _ in range(200)]
+    same = [" ".join([*filler(130), *shared, *filler(130)]) for _ in range(200)]
+    took = []
+    for texts in (plain, same, plain, same):
+        start = time.process_time()
+        assert not any(decontam.hits(items, texts))
+        took.append(time.process_time() - start)
+    assert min(took[1::2]) < 2 * min(took[::2]) + 0.1, took
+    texts = [" ".join(filler(20) + edited(shared + w, 12, "spread", rng) + filler(20)) for w in own[:100]]
+    assert sum(k in f for k, f in enumerate(decontam.hits(items, texts))) >= 95
+    # items that differ in a few words only are found, all of them
+    near = decontam.Items([(k, " ".join([*shared, f"q{k}"])) for k in range(50)])
+    assert len(decontam.hits(near, [" ".join(["before", *shared, "after"])])[0]) == 50
+
+
 def test_all_pairs(spark, pytestconfig):
     documents = spark.read.parquet(f"{pytestconfig.DATA}/documents.parquet").collect()
     items = decontam.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{pytestconfig.DATA}/benchmark.parquet").collect()])

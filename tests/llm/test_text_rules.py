@@ -86,6 +86,36 @@ def test_every_rule_passes_the_gate(spark):
     assert "ncsa" not in licenses.scan(spark.createDataFrame([("an open source license",)], "text string")).first().labels
 
 
+def variants(parsed):
+    """Strings that take every branch and every optional part of a regex at least once."""
+    each = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "BRANCH":
+            each.append([x for b in arg[1] for x in variants(b)])
+        elif op == "SUBPATTERN":
+            each.append(variants(arg[3]))
+        elif op == "MAX_REPEAT":
+            inner = variants(arg[2])
+            each.append([inner[0] * max(arg[0], 1), *inner[1:], *[""] * (arg[0] == 0)])
+        elif op == "IN" and len(arg) > 1 and all(str(k) == "LITERAL" for k, _ in arg):
+            each.append([chr(c) for _, c in arg])
+        else:
+            each.append([example([(op, arg)])])
+    base = [e[0] for e in each]
+    return list(dict.fromkeys(["".join(base)] + ["".join([*base[:k], x, *base[k + 1 :]]) for k, e in enumerate(each) for x in e[1:]]))
+
+
+def test_every_branch_passes_the_gate(spark):
+    cases = [(label, rank, key, x) for label, key, regex, rank in licenses.rules() for x in variants(re._parser.parse(regex)) if re.fullmatch(regex, x)]
+    assert len(cases) > 2 * len(licenses.rules())
+    cc = re.compile(r"(?<![0-9a-z])cc ?(?:by|zero|0)")
+    assert [c for c in cases if not (any(g in c[3] for g in licenses.GATES) or cc.search(c[3])) or licenses._key(c[2]) not in f" {c[3]} "] == []
+    text = "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the X Consortium"
+    row = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert (row.labels, row.score) == ("x11", 1.0)
+
+
 def test_suppression_is_containment(spark):
     rng = random.Random(3)
     for _ in range(5):
