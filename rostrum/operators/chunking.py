@@ -81,7 +81,7 @@ def greedy_chunks(df: DataFrame, campaign: str, order: str, tokens: str, most_re
     A row over the token limit by itself fails the job.  Ties in the order are broken in any way.
     """
     block = max(block, most_records)
-    rows = settled(_placed(df, campaign, order, tokens, most_tokens).withColumn("_b", F.floor(F.col("_i") / block)))
+    rows = _placed(df, campaign, order, tokens, most_tokens).withColumn("_b", F.floor(F.col("_i") / block))  # twice read, from the settled sort
     ahead = (F.col("_b") > 0) & (F.col("_i") % block < most_records)  # what the block before looks ahead to
     light = rows.select(F.col(campaign).alias("c"), F.explode(F.when(ahead, F.array("_b", F.col("_b") - 1)).otherwise(F.array("_b"))).alias("b"), F.col("_i").alias("i"), F.col("_s").alias("s"), (F.col("_s") + F.col(tokens)).alias("e"))
 
