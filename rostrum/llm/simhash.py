@@ -355,12 +355,20 @@ def similar(pairs: DataFrame, sets: DataFrame, tenths: int = TENTHS) -> DataFram
     return sized.filter(10 * F.col("both") >= tenths * (F.col("all") - F.col("both"))).select("u", "v")
 
 
+def apart(asked: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, _v): for both nodes of every pair (u, v) that was looked at and whose roots still differ, the other ones."""
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"_{n}")) for n in ("u", "v"))
+    placed = asked.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("_u", "u") != F.coalesce("_v", "v"))
+    both = placed.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("o")), F.struct(F.col("v").alias("node"), F.col("u").alias("o")))).alias("p"))
+    return both.select("p.node", "p.o").distinct().groupBy("node").agg(F.collect_list("o").alias("_v"))
+
+
 def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, bands: tuple[int, int]) -> DataFrame:
     """doc_id, hash (of the text), root and component_id of every row: the component, and the smallest doc_id of all that pairs of a
     similarity of at least 0.8 reach from it.
 
     Texts of the same shingles are one node.  In each round a node looks at its nearest candidates that no pair has joined it with
-    yet and that it has not looked at, one in the first round and four times as many in each further one, until none is left.  So
+    yet and that neither of the two has looked at, one in the first round and four times as many in each further one, until none is left.  So
     every candidate is either checked or already in the same component, and the pairs of a large group are not all written out.
     """
     signed = settled(set_signatures(documents, shingle, words, bands))
@@ -371,7 +379,7 @@ def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, ban
         asked = settled(candidates(left, radius, most))
         if asked.isEmpty():
             break
-        mine = asked.groupBy("u").agg(F.collect_list("v").alias("_v")).withColumnRenamed("u", "node")
+        mine = asked.select(F.col("u").alias("node")).distinct()
         if sets is None:
             ids = nodes.join(mine, "node", "left_semi").select(F.col("id").alias("doc_id"))
             sets = written(shingle_sets(documents.join(ids, "doc_id", "left_semi"), shingle).join(mine, "node", "left_semi").dropDuplicates(["node"]), "shingles")
@@ -379,8 +387,9 @@ def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, ban
         pairs = settled(pairs)
         if roots is None or not pairs.isEmpty():
             roots = settled(components(pairs if roots is None else pairs.union(roots.filter("node > root"))))
-        left = left.drop("label").join(mine, "node").join(roots, "node", "left")
-        left = settled(left.select("node", "fingerprint", "keys", F.coalesce("root", "node").alias("label"), F.concat("tried", "_v").alias("tried")))
+        left = left.drop("label").join(mine, "node", "left_semi").join(roots, "node", "left").join(apart(asked, roots), "node", "left")
+        tried = F.concat("tried", F.coalesce("_v", F.array().cast("array<binary>")))
+        left = settled(left.select("node", "fingerprint", "keys", F.coalesce("root", "node").alias("label"), tried.alias("tried")))
         most *= MORE
     placed = signed.select("doc_id", "hash", "node").withColumn("root", F.col("node"))
     if roots is not None:
