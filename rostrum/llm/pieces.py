@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rostrum.llm.simhash import mixed
+from rostrum.llm.worker import give_back
 
 ALPHA, SEED = 1.0, 7
 #: Characters sampled at once, ends of pieces that a worker's tables hold, and the longest unit that is remembered.
@@ -254,6 +255,7 @@ def encode(documents: DataFrame, path: str | None = None, alpha: float = ALPHA,
     rest = documents.drop("pieces", "lossless")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         sample = Sampler(Vocabulary(sent.value, alpha), seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.storage import settled, written
+from rostrum.llm.worker import give_back
 
 SEED = 42
 #: Rows of whole shards that a task gathers before it builds their trees, and pairs it looks at at once.
@@ -193,6 +194,7 @@ def whole_shards(done: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterat
     """For rows sorted by shard: ``done`` of about GATHER rows at once, no shard of them cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
