@@ -1,12 +1,14 @@
-"""Queries of recoveries.  Orders stand in for records, their customers for campaigns, their lines for the rows of attempts' artifacts."""
+"""Queries of recoveries and of frozen plans.  Orders stand in for records, their customers for campaigns, their lines for the rows of attempts' artifacts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.operators import recoveries
+from rostrum.functions import keys
+from rostrum.operators import baseline, recoveries
 from rostrum.plans.registry import query
+from rostrum.plans.second import quoted
 from rostrum.sources.tables import table
 
 # What both engines say of the tables in the same words.
@@ -109,3 +111,55 @@ def recovery_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     select root, record_id, case when good then campaign end as campaign, case when good then generation end as generation, case when good then status else 'missing' end as status, n_rows, n_distrusted from (select *, (trusted and status = 'success') or generation = 0 as good from b where k = 1)""")
 def recovery_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recoveries.effective(linked(spark, sf_dir))
+
+
+# Documents as requests of plans of eight: prompts whose heads are whole, or odd in one of several ways.
+HEAD = f"""'{{"business_type": ' || case when doc_id % 5 = 0 then 'null' else {quoted("source")} end || case when doc_id % 11 = 0 then ', "extra": 1' else '' end || ', "chamber":' || case when doc_id % 13 = 0 then '' else ' ' end || {quoted("lang")}
+    || case when doc_id % 23 = 0 then '' else ', "date": "2000-01-01"' end || ', "major_heading": ' || {quoted("substr(coalesce(text, ''), 1, 30)")} || ', "minor_heading": ' || (doc_id % 7) || ', "speaker_name": null' || case when doc_id % 17 = 0 then '' else '}}' end"""
+ASKED = f"""select doc_id, cast(doc_id as string) as turn_key, 'METADATA:' || chr(10) || {HEAD} || chr(10) || chr(10) || case when doc_id % 19 = 0 then 'TEXT:' else 'SPEECH:' end || chr(10) || coalesce(text, '') as prompt,
+    case when doc_id % 3 = 0 then '{{"b":[1,2],"a":0}}' when doc_id % 3 = 1 then '{{"a": 0, "b": [1, 2]}}' else '{{"a":1}}' end as configuration from documents where doc_id % 31 > 0"""
+READ = f"""with a as ({ASKED}), t as (select * from a union all select * from a where doc_id % 29 = 0), n as (select turn_key, count(*) as n, any_value(prompt) as prompt, any_value(configuration) as configuration from t group by 1),
+    p as (select d.doc_id::varchar as turn_key, coalesce(n, 0) as n, prompt, configuration, split_part(substr(prompt, 11), chr(10) || chr(10) || 'SPEECH:' || chr(10), 1) as head, prompt like '%' || chr(10) || chr(10) || 'SPEECH:' || chr(10) || '%' as whole from documents d left join n on n.turn_key = d.doc_id::varchar where lang <> 'de'),
+    v as (select *, case when whole and json_valid(head) then head end as j from p),
+    r as (select *, case when n = 0 then 'MISSING' when n > 1 then 'REPEATED' when not whole then 'STRUCTURE' when j is null then 'METADATA_JSON' when list_sort(json_keys(j)) <> ['business_type', 'chamber', 'date', 'major_heading', 'minor_heading', 'speaker_name'] then 'METADATA_FIELDS'
+        when concat('{{"business_type": ', j -> 'business_type', ', "chamber": ', j -> 'chamber', ', "date": ', j -> 'date', ', "major_heading": ', j -> 'major_heading', ', "minor_heading": ', j -> 'minor_heading', ', "speaker_name": ', j -> 'speaker_name', '}}') <> head then 'ROUND_TRIP' end as error from v)"""
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of plans with eight requests each."""
+    rows = made(spark, sf_dir, ASKED)
+    rows = rows.union(rows.filter("doc_id % 29 = 0"))
+    one = F.concat(F.lit('{"metadata":{"key":'), keys.json_text(F.concat(F.lit("turn:"), "turn_key")), F.lit('},"request":{"contents":[{"parts":[{"text":'), keys.json_text(F.col("prompt")), F.lit('}]}],"generationConfig":'), "configuration", F.lit("}}"))
+    many = rows.groupBy(F.floor(F.col("doc_id") / 8).alias("plan")).agg(F.array_join(F.collect_list(one), ",").alias("_r"))
+    return many.select("plan", F.concat(F.lit('{"provenance":{"model":"m"},"request":{"batch":{"input_config":{"requests":{"requests":['), "_r", F.lit("]}}}}}")).alias("text"))
+
+
+def frozen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = baseline.requests(plans(spark, sf_dir), "plan", "text")
+    expected = table(spark, sf_dir, "documents").filter("lang <> 'de'").select(F.col("doc_id").cast("string").alias("turn_key"))
+    return baseline.records(expected, asked), asked
+
+
+@query(READ + """ select turn_key, error, case when error is null then sha256(substr(prompt, 11 + length(head) + 10)) end as speech_sha256, case when error is null then j ->> 'chamber' end as chamber, case when error is null then j ->> 'major_heading' end as major_heading,
+    case when error is null then j ->> 'minor_heading' end as minor_heading from r""")
+def frozen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.col("error").isNull()
+    return frozen(spark, sf_dir)[0].select("turn_key", "error", F.when(whole, F.sha2("speech", 256)).alias("speech_sha256"), *[F.when(whole, F.col(c)).alias(c) for c in ("chamber", "major_heading", "minor_heading")])
+
+
+@query(READ + """ select count(*) as n_turns, count(*) filter (where error is null) as n_records, count(*) filter (where error = 'MISSING') as n_missing, count(*) filter (where error = 'REPEATED') as n_repeated, count(*) filter (where error not in ('MISSING', 'REPEATED')) as n_broken,
+    count(distinct case when n = 1 then (configuration ->> 'a') || cast((configuration -> 'b') as varchar) end) + max(case when n = 1 and (configuration -> 'b') is null then 1 else 0 end) as n_configurations, true as provenance_holds, false as usable from r""")
+def frozen_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.accounts(*frozen(spark, sf_dir), {"model": "m"})
+
+
+AUDIT = """select doc_id as record_id, doc_id % 3 > 0 as valid, case when doc_id % 17 = 0 then '[1]' when doc_id % 19 = 0 then '{' else '{"chars":' || n_chars || '}' end as values, case when doc_id % 3 = 0 then case doc_id % 7 when 0 then 'PREDICTION' when 1 then '' else 'INVALID_OUTPUT' end else 'PREDICTION' end as outcome,
+    case when doc_id % 5 = 0 then 'Unmatched: ' || lang when doc_id % 5 = 1 then '' when doc_id % 5 = 2 then 'ambiguous ' || source end as diagnostic, case when doc_id % 2 = 0 then 'unmatched and AMBIGUOUS' end as reason from documents"""
+
+
+@query(f"""with a as ({AUDIT.replace("as values", 'as "values"')}), m as (select *, case when not valid then coalesce(nullif(diagnostic, ''), nullif(reason, ''), outcome) end as message from a)
+    select case when valid then 'success' else 'invalid' end as status, case when valid then null else outcome end as error_type, message as error_message, coalesce(contains(lower(message), 'unmatched'), false) as unmatched, coalesce(contains(lower(message), 'ambiguous'), false) as ambiguous,
+        case when valid and coalesce(json_type(case when json_valid("values") then "values" end), '') <> 'OBJECT' then 'VALUES_NOT_AN_OBJECT' when not valid and outcome in ('', 'PREDICTION') then 'OUTCOME_MISSING' end as error, count(*) as n from m group by all""")
+def baseline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = baseline.results(made(spark, sf_dir, AUDIT))
+    return rows.groupBy("status", "error_type", "error_message", (F.size("evidence_unmatched") > 0).alias("unmatched"), (F.size("evidence_ambiguous") > 0).alias("ambiguous"), "error").agg(F.count("*").alias("n"))
