@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import csv_cell
+from rostrum.functions.text import csv_cell, yes_no_unknown
 from rostrum.operators.ordered import numbered
 
 
@@ -26,6 +26,19 @@ def write_csv(df: DataFrame, path: str, line_end: str = "\n") -> None:
     plain(df).write.option("header", True).option("escape", '"').option("lineSep", line_end).option("emptyValue", "").mode("errorifexists").csv(path)
 
 
+def write_excel(df: DataFrame, path: str) -> None:
+    """CSV as spreadsheets want it: parts that, joined in the order of their names, begin with a byte order mark and the names, once; lines
+    end in CR LF, line ends in cells stay as they are, and an unknown truth value is ``unknown``.
+
+    Lines are written as text: Spark's CSV writer puts its own line end into cells.
+    """
+    told = plain(df.select(*[yes_no_unknown(F.col(n)).alias(n) if kind == "boolean" else F.col(n) for n, kind in df.dtypes]))
+    cells = lambda of: F.concat_ws(",", *[F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in of])
+    head = df.sparkSession.range(0, 1, 1, 1).select(F.concat(F.lit("\ufeff"), cells([F.lit(n) for n in df.columns])).alias("value"))
+    lines = head.union(told.select(cells([F.col(n) for n in told.columns]).alias("value")))
+    lines.select(F.concat("value", F.lit("\r")).alias("value")).write.option("lineSep", "\n").mode("errorifexists").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).mode("errorifexists").json(path)
 
