@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.operators import workspaces
+from rostrum.operators import samples, workspaces
 from rostrum.plans.recovering import made
 from rostrum.plans.registry import query
 
@@ -69,3 +69,43 @@ def revision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {WORK}, v as (select *, count(*) over (partition by annotation_id) as n_versions from ({VERSIONS})) select w.assignment_id, w.status as assignment_status, user_id, revision, n_versions, {SHORT} from ({NOTED}) n join v on v.version_id = n.current_version_id join w on w.assignment_id = n.assignment_id where n.status in ('submitted', 'revised')""")
 def completed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short(workspaces.completed(work(spark, sf_dir), made(spark, sf_dir, NOTED), versions(spark, sf_dir)), "assignment_id", "assignment_status", "user_id", "revision", "n_versions")
+
+
+RECORDS = "select o_custkey as campaign, o_orderkey % 300 as turn_id from orders "
+TURNS = "select doc_id as turn_id, 't' || doc_id % 190 as turn_key from documents where doc_id % 13 > 0"
+LABELLED = "select event_id as prediction_id, event_id % 300 as turn_id, user_id as run_id, ts as imported_at, case event_type when 'error' then 'hostility' else 'policy' end as task, case when event_type <> 'signup' then value > 60 end as is_non_policy from events where event_id % 300 % 5 > 0"
+
+
+@query(f"""with p as (select * from ({LABELLED}) where task = 'policy' qualify row_number() over (partition by turn_id order by imported_at desc, run_id desc, prediction_id desc) = 1)
+    select campaign, count(*) as n_records, count(*) filter (where is_non_policy is distinct from false) as invalid_count, min(turn_key) filter (where is_non_policy is distinct from false) as example_turn_key from ({RECORDS}) r join ({TURNS}) t using (turn_id) left join p using (turn_id) group by 1""")
+def eligible_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.eligibility(*(made(spark, sf_dir, s) for s in (RECORDS, TURNS, LABELLED)))
+
+
+SAMPLE = "select doc_id + 1 as sample_order, 't' || case when doc_id % 41 = 7 then doc_id - 1 else doc_id end as turn_key from documents "
+TAKEN = "select 't' || o_orderkey % 190 as turn_key from orders where o_custkey % 11 = 0"
+BATCH = f"""with i as (select turn_key, count(*) as n, min(turn_id) as turn_id from ({TURNS}) group by 1), k as (select distinct turn_key, true as taken from ({TAKEN})), b as (select sample_order, s.turn_key, case when count(*) over (partition by s.turn_key) > 1 then 'TWICE' when n is null then 'MISSING' when n > 1 then 'AMBIGUOUS' when taken then 'TAKEN' end as error,
+    turn_id as t, -sample_order as priority from ({SAMPLE}) s left join i using (turn_key) left join k using (turn_key))"""
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.sample_batch(*(made(spark, sf_dir, s) for s in (SAMPLE, TURNS, TAKEN)))
+
+
+@query(BATCH + " select sample_order, turn_key, error, case when error is null then t end as turn_id, priority from b")
+def frozen_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch(spark, sf_dir)
+
+
+@query(BATCH + """ select count(*) as n, count(*) filter (where error = 'TWICE') as n_twice, count(*) filter (where error = 'MISSING') as n_missing, count(*) filter (where error = 'AMBIGUOUS') as n_ambiguous, count(*) filter (where error = 'TAKEN') as n_taken,
+    (select string_agg(turn_key, ',' order by sample_order) from (select * from b where error = 'MISSING' order by sample_order limit 5)) as first_missing, false as usable from b""")
+def frozen_batch_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.batch_accounts(batch(spark, sf_dir), 200)
+
+
+FAILED = "select user_id % 50 as artifact, case event_type when 'view' then 'success' when 'signup' then null else 'invalid' end as status, case event_type when 'error' then 'JSON_TRUNCATION' when 'click' then 'odd' when 'purchase' then 'JSON_MALFORMED' end as failure_category from events "
+
+
+@query(f"select a.artifact, c.failure_category, count(x.artifact) as n from (select distinct artifact from ({FAILED})) a cross join (select unnest(['JSON_TRUNCATION', 'JSON_MALFORMED', 'NEVER', 'UNCLASSIFIED']) as failure_category) c left join (select artifact, case when failure_category in ('JSON_TRUNCATION', 'JSON_MALFORMED') then failure_category else 'UNCLASSIFIED' end as failure_category from ({FAILED}) where status is distinct from 'success') x on x.artifact = a.artifact and x.failure_category = c.failure_category group by all")
+def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.failure_counts(made(spark, sf_dir, FAILED), "artifact", ["JSON_TRUNCATION", "JSON_MALFORMED", "NEVER"])

@@ -2,6 +2,7 @@
 
 import random
 
+from rostrum.operators import samples as S
 from rostrum.operators import workspaces as W
 
 STATES = ["assigned", "claimed", "in_progress", "submitted", "skipped", "flagged", "withdrawn"]
@@ -73,3 +74,24 @@ def test_lists_of_campaigns_and_corpora(spark):
     assert [(r.name, r.run_name) for r in W.corpus_list(corpora, runs).collect()] == [("a", None), ("z", "seven")]
     campaigns = spark.createDataFrame([(1, 1, 7, 5), (2, 3, None, 5), (3, 9, 7, 9), (4, 2, 8, 8)], "campaign_id int, corpus_id int, run_id int, created_at int")
     assert [(r.campaign_id, r.corpus_name, r.run_public_id) for r in W.campaign_list(campaigns, corpora, runs).collect()] == [(4, "a", None), (2, "b", None), (1, "z", "p7")]
+
+
+def test_frozen_samples(spark):
+    sample = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c"), (4, "d"), (5, "d"), (6, None)], "sample_order int, turn_key string")
+    turns = spark.createDataFrame([(10, "a"), (11, "b"), (12, "b"), (13, "d"), (14, "e")], "turn_id int, turn_key string")
+    taken = spark.createDataFrame([("a",), ("a",)], "turn_key string")
+    got = {r.sample_order: (r.turn_id, r.error, r.priority) for r in S.sample_batch(sample, turns, taken).collect()}
+    assert got == {1: (None, "TAKEN", -1), 2: (None, "AMBIGUOUS", -2), 3: (None, "MISSING", -3), 4: (None, "TWICE", -4), 5: (None, "TWICE", -5), 6: (None, "MISSING", -6)}
+    good = S.sample_batch(sample.filter("turn_key in ('a')"), turns, taken.limit(0))
+    row = S.batch_accounts(good, 1).first()
+    assert row.usable and row.first_missing == "" and not S.batch_accounts(good, 2).first().usable and not S.batch_accounts(good.limit(0), 0).first().usable
+    stored = spark.createDataFrame([(1, "a")], "sample_order int, turn_key string")
+    assert S.same_batch(good, stored) and not S.same_batch(good, stored.limit(0)) and not S.same_batch(good, stored.union(stored)) and not S.same_batch(good, sample)
+
+
+def test_eligible_by_the_latest_policy_label(spark):
+    records = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (2, 1), (3, 9)], "campaign int, turn_id int")
+    turns = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "turn_id int, turn_key string")
+    said = [(1, 1, 1, 5, "policy", True), (2, 1, 2, 5, "policy", False), (3, 1, 9, 9, "hostility", True), (4, 2, 1, 1, "policy", None), (5, 4, 1, 1, "policy", False)]
+    got = {tuple(r) for r in S.eligibility(records, turns, spark.createDataFrame(said, "prediction_id int, turn_id int, run_id int, imported_at int, task string, is_non_policy boolean")).collect()}
+    assert got == {(1, 3, 2, "b"), (2, 2, 0, None)}
