@@ -33,7 +33,8 @@ def review_rows(predictions: DataFrame, failures: DataFrame, reviews: DataFrame,
     of the annotation that this made, and its flags in order.
 
     Reviews have prediction_id, review_id, reviewed_at, review_status, note, version_id; versions have version_id, human_turn_id,
-    human_values: JSON.  A failure's last review counts whatever its state, and it has no flags.
+    human_values: JSON.  A failure's last review counts whatever its state, and it has no flags.  All notes of an outcome are one cell, as in
+    the exports; counts of notes over all outcomes are in ``breakdown``.
     """
     what = ["prediction_id", "review_status", "note", "version_id"]
     ended = latest(reviews, "prediction_id", "reviewed_at", "review_id", only=F.col("review_status").isin(*ENDED)).select(*what)
