@@ -134,6 +134,21 @@ def row_error(task: Column, values: Column, policy_fields: list[Column]) -> Colu
     )
 
 
+def package_error(values: Column, text: Column) -> Column:
+    """The first broken rule of a person's label in a package, ``values`` its JSON and ``text`` the record's; null if all hold.
+
+    Here NO has a null target, and each span's place is checked against the text; spans may have further fields.
+    """
+    v = F.try_parse_json(values)
+    spans, presence, target = F.try_variant_get(v, "$.evidence_span", "array<variant>"), _text(v, "$.hostility_present"), _text(v, "$.target")
+    no, n = presence == "NO", F.size(spans)
+    return first(
+        FIELDS=~_fields(v).eqNullSafe(F.array(*map(F.lit, ("evidence_span", "hostility_present", "target")))), PRESENCE_UNKNOWN=~F.coalesce(presence.isin(*PRESENCES), F.lit(False)),
+        NO_WITH_TARGET=no & (_kind(v, "$.target") != "VOID"), TARGET_UNKNOWN=~no & ~F.coalesce(target.isin(*TARGETS), F.lit(False)),
+        CARDINALITY=spans.isNull() | (no & (n > 0)) | (~no & (n == 0)), SPAN_PLACE=F.exists(spans, lambda s: ~_stands(s, text)),
+    )
+
+
 def policy_row_error(task: Column, values: Column, non_policy: Column, primary: Column, secondary: Column) -> Column:
     """The same of a first-pass prediction: its own columns are there, and ``values``, unless it is empty, says the same."""
     v = F.try_parse_json(values)

@@ -151,3 +151,17 @@ def repair_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     presence = F.when(i % 4 == 0, "YES").when(i % 4 == 1, "UNSURE").when(i % 4 == 2, "NO")
     rows = responses(spark, sf_dir).withColumns({"repair": F.expr(REPAIR), "p": presence, "g": F.lit("UNSURE")})
     return second_pass.repaired(rows, "repair", "p", "g", "t").select("doc_id", "error")
+
+
+# People's labels of documents as packages hold them: spans that stand, or are off by one, too long, or say something else.
+PACKED = f"""'{{"hostility_present":"' || case doc_id % 5 when 0 then 'NO' when 4 then 'MAYBE' when 1 then 'UNSURE' else 'YES' end || '","target":' || case when doc_id % 5 = 0 and doc_id % 4 > 0 then 'null' when doc_id % 11 = 0 then '"N/A"' else '"UNSURE"' end || case when doc_id % 19 = 0 then ',"more":1' else '' end || ',"evidence_span":' || case when doc_id % 23 = 0 then '"x"'
+    when doc_id % 5 = 0 and doc_id % 3 > 0 then '[]' when doc_id % 17 = 0 then '[]' else '[{{"start_offset":' || case when doc_id % 7 = 3 then 3 else 2 end || ',"end_offset":' || case when doc_id % 7 = 4 then '7.5' when doc_id % 7 = 5 then '90000000000' else '7' end || ',"text":' || {quoted("case when doc_id % 7 = 6 then 'other' else substr(coalesce(text, ''), 3, 5) end")} || '}}]' end || '}}'"""
+
+
+@query(f"""with d as (select doc_id, coalesce(text, '') as t, {PACKED} as j from documents), s as (select *, json_extract(j, '$.evidence_span[0]') as s, j ->> '$.hostility_present' as h, j ->> '$.target' as g from d)
+    select doc_id, case when list_sort(json_keys(j)) <> ['evidence_span', 'hostility_present', 'target'] then 'FIELDS' when h not in ('YES', 'NO', 'UNSURE') then 'PRESENCE_UNKNOWN' when h = 'NO' and g is not null then 'NO_WITH_TARGET' when h <> 'NO' and g <> 'UNSURE' then 'TARGET_UNKNOWN'
+        when json_type(j, '$.evidence_span') <> 'ARRAY' or (h = 'NO') = (json_array_length(j, '$.evidence_span') > 0) then 'CARDINALITY'
+        when s is not null and not (json_type(s, '$.end_offset') = 'UBIGINT' and (s ->> '$.end_offset')::double <= length(t) and coalesce(substr(t, (s ->> '$.start_offset')::bigint + 1, least(try_cast(s ->> '$.end_offset' as bigint), 1000000) - (s ->> '$.start_offset')::bigint) = s ->> '$.text', false)) then 'SPAN_PLACE' end as error from s""")
+def package_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.select("doc_id", second_pass.package_error(F.expr(PACKED), F.coalesce("text", F.lit(""))).alias("error"))

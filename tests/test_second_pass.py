@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_evidence import plain
 
 from rostrum.operators import evidence, rules, second_pass
@@ -107,3 +108,16 @@ def test_artifact_of_nothing(spark):
     none = spark.createDataFrame([], "k int, r string, t string")
     verdicts = second_pass.artifact_verdicts(none.select("k", "r"), none.select("k", "t"), "k", "r", "t")
     assert verdicts.isEmpty() and second_pass.artifact_accounts(verdicts, none, none, none, "k").first().importable
+
+
+def test_labels_of_packages(spark):
+    good = '{"start_offset":1,"end_offset":3,"text":"\U0001f600b","more":0}'
+    row = lambda h, t, e: f'{{"hostility_present":{h},"target":{t},"evidence_span":{e}}}'
+    wanted = {
+        row('"YES"', '"UNSURE"', f"[{good}]"): None, row('"NO"', "null", "[]"): None, row('"NO"', '"UNSURE"', "[]"): "NO_WITH_TARGET", row('"NO"', "null", f"[{good}]"): "CARDINALITY", row('"NO"', "null", "null"): "CARDINALITY",
+        row('"YES"', "null", f"[{good}]"): "TARGET_UNKNOWN", row('"YES"', '"N/A"', f"[{good}]"): "TARGET_UNKNOWN", row("true", '"UNSURE"', "[]"): "PRESENCE_UNKNOWN", row('"UNSURE"', '"UNSURE"', "[]"): "CARDINALITY",
+        row('"YES"', '"UNSURE"', f"[{good},null]"): "SPAN_PLACE", row('"YES"', '"UNSURE"', "[{}]"): "SPAN_PLACE", row('"YES"', '"UNSURE"', f"[{good.replace('3', '4')}]"): "SPAN_PLACE", row('"YES"', '"UNSURE"', f"[{good.replace('3', 'true')}]"): "SPAN_PLACE",
+        "[]": "FIELDS", "{": "FIELDS", "{}": "FIELDS", row('"NO"', "null", '[],"x":1'): "FIELDS", None: "FIELDS",
+    }
+    rows = spark.createDataFrame([(v, "a\U0001f600bc") for v in wanted], "v string, t string")
+    assert {r.v: r.e for r in rows.select("v", second_pass.package_error(F.col("v"), F.col("t")).alias("e")).collect()} == wanted
