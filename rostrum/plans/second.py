@@ -5,7 +5,9 @@ Responses are JSON that both engines make of the documents by the same expressio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators import rules, second_pass
@@ -51,12 +53,17 @@ READ = f"""with d as ({TAKEN}), r as (select *, {RESPONSE} as response from d),
         when json_type(sp) <> 'ARRAY' then 'SPANS_NOT_A_LIST' when bad is not null then bad when p = 'NO' and (g <> 'N/A' or coalesce(n, 0) > 0) then 'NO_WITH_EVIDENCE' when p <> 'NO' and (g = 'N/A' or coalesce(n, 0) = 0) then 'WITHOUT_EVIDENCE' end as error from v left join a using (doc_id))"""
 
 
+def spoken(sql: str) -> Column:
+    """The expression in Spark, whose chr() takes numbers modulo 256: characters beyond that are written out."""
+    return F.expr(re.sub(r"chr\((\d+)\)", lambda m: f"'{chr(int(m[1]))}'" if int(m[1]) > 255 else m[0], sql))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     rows.createOrReplaceTempView(view := "rostrum_second_documents")
     taken = spark.sql(TAKEN.replace("from documents", f"from {view}"))
     spark.catalog.dropTempView(view)
-    return taken.withColumn("response", F.expr(RESPONSE))
+    return taken.withColumn("response", spoken(RESPONSE))
 
 
 @query(READ + """ select doc_id, error, case when error in ('NO_WITH_EVIDENCE', 'WITHOUT_EVIDENCE') then 'SEMANTIC_CONTRACT_INVALID' when error is not null then 'STRUCTURED_OUTPUT_INVALID' end as category, case when error is null then p end as presence,

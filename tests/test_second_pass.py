@@ -3,11 +3,16 @@
 import json
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_evidence import plain
 
 from rostrum.operators import evidence, rules, second_pass
+from rostrum.plans import second  # noqa: F401  it registers its queries
+from rostrum.plans.registry import QUERIES, SQL
 
 TARGETS = ("OPPOSING_PARTISAN_TARGET", "OTHER_POLITICAL_TARGET", "NON_POLITICAL_TARGET", "UNSURE", "N/A")
 TEXT = "The Minister’s  plan – a “plan” – failed.\n\nHe said so, and so did she. \U0001f600 End"
@@ -121,3 +126,22 @@ def test_labels_of_packages(spark):
     }
     rows = spark.createDataFrame([(v, "a\U0001f600bc") for v in wanted], "v string, t string")
     assert {r.v: r.e for r in rows.select("v", second_pass.package_error(F.col("v"), F.col("t")).alias("e")).collect()} == wanted
+
+
+#: Documents whose quotes have hyphens and apostrophes, which the queries' responses write in other characters.
+MARKED = "a man's well-known son-in-law didn't come to O'Brien's co-op, and it's so-so"
+
+
+def rows_of_both(spark, folder, name):
+    (folder / "documents.parquet").mkdir()
+    pq.write_table(pa.table({"doc_id": list(range(200)), "text": [f"{MARKED} {k}" for k in range(200)]}), folder / "documents.parquet" / "0.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = duck.execute(SQL[name])
+    names = [d[0] for d in want.description]
+    return sorted(map(repr, map(tuple, QUERIES[name](spark, str(folder)).select(names).collect()))), sorted(map(repr, want.fetchall()))
+
+
+def test_responses_hold_characters_beyond_latin(spark, tmp_path):
+    got, want = rows_of_both(spark, tmp_path, "hostility_validation")
+    assert got == want
