@@ -156,7 +156,7 @@ REPAIR = f"""case when i % 6 = 0 then '{{"evidence_spans":[]}}' when i % 6 = 1 t
 def repair_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
     presence = F.when(i % 4 == 0, "YES").when(i % 4 == 1, "UNSURE").when(i % 4 == 2, "NO")
-    rows = responses(spark, sf_dir).withColumns({"repair": F.expr(REPAIR), "p": presence, "g": F.lit("UNSURE")})
+    rows = responses(spark, sf_dir).withColumns({"repair": spoken(REPAIR), "p": presence, "g": F.lit("UNSURE")})
     return second_pass.repaired(rows, "repair", "p", "g", "t").select("doc_id", "error")
 
 

@@ -145,3 +145,8 @@ def rows_of_both(spark, folder, name):
 def test_responses_hold_characters_beyond_latin(spark, tmp_path):
     got, want = rows_of_both(spark, tmp_path, "hostility_validation")
     assert got == want
+
+
+def test_repairs_hold_characters_beyond_latin(spark, tmp_path):
+    got, want = rows_of_both(spark, tmp_path, "repair_errors")
+    assert got == want
