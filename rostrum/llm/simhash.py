@@ -156,22 +156,35 @@ class Forest:
         return np.concatenate(left), np.concatenate(right)
 
 
-def shard_edges(prints: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of items sorted by shard: those linked to an earlier one, and the least item each reaches in its shard."""
-    n = len(shard)
-    first = np.concatenate([[True], shard[1:] != shard[:-1]])
-    start = np.flatnonzero(first)
-    root = start[np.cumsum(first) - 1]
-    size = np.diff(np.append(start, n))[np.cumsum(first) - 1]
-    label = np.arange(n)
+def roots_of(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items sorted by shard: the first item of each one's shard, and how many are in it."""
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    size = np.diff(np.append(start, len(shard)))
+    return np.repeat(start, size), np.repeat(size, size)
+
+
+def asked_parts(size: np.ndarray) -> list[np.ndarray]:
+    """The items that are not alone in their shard, in parts that look at about FRONTIER pairs each."""
     some = np.flatnonzero(size > 1)
-    if not len(some):
-        return some, some
-    forest = Forest(prints, root)
     part = np.cumsum(size[some]) // FRONTIER
-    for asked in np.split(some, np.flatnonzero(part[1:] != part[:-1]) + 1):
+    return np.split(some, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(some) else []
+
+
+def shard_labels(prints: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
+    """Of items sorted by shard: the least item that each reaches in its shard, itself included."""
+    root, size = roots_of(shard)
+    label, parts = np.arange(len(shard)), asked_parts(size)
+    if parts:
+        forest = Forest(prints, root)
+    for asked in parts:
         label = merge(label, *forest.links(asked, radius))
-    moved = np.flatnonzero(label != np.arange(n))
+    return label
+
+
+def shard_edges(prints: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of items sorted by shard: those linked to an earlier one, and the least item each reaches in its shard."""
+    label = shard_labels(prints, shard, radius)
+    moved = np.flatnonzero(label != np.arange(len(shard)))
     return moved, label[moved]
 
 
@@ -190,15 +203,15 @@ def sharded(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
     return cut.select(F.explode(F.when(F.col("blocks").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), *rest)
 
 
-def whole_shards(done: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows sorted by shard: ``done`` of about GATHER rows at once, no shard of them cut."""
+def whole_shards(done: Callable[[pa.Table], pa.RecordBatch], weight: Callable[[pa.RecordBatch], int] = lambda b: b.num_rows, most: int = GATHER) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by shard: ``done`` of about GATHER rows at once, or of ``most`` by another weight, no shard of them cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= GATHER:
+            if sum(map(weight, held)) >= most:
                 table = pa.Table.from_batches(held)
                 shard = table.column("shard").to_numpy()
                 cut = int(np.searchsorted(shard, shard[-1]))
@@ -211,13 +224,16 @@ def whole_shards(done: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterat
     return run
 
 
+def bits_of(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).reshape(len(prints), -1)
+
+
 def edges(nodes: DataFrame, radius: int) -> DataFrame:
     """Of rows (fingerprint, keys): edges (u, v), u > v, whose components are those of all links."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
         raw = table.column("fingerprint").to_pylist()
-        prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
-        a, b = shard_edges(prints, table.column("shard").to_numpy(), radius)
+        a, b = shard_edges(bits_of(raw), table.column("shard").to_numpy(), radius)
         pairs = [(max(raw[i], raw[j]), min(raw[i], raw[j])) for i, j in zip(a.tolist(), b.tolist())]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
@@ -265,6 +281,8 @@ NEAR = {"shingle": 5, "radius": 120, "words": 8, "bands": (16, 4)}
 TENTHS = 8
 #: A node's candidates are looked at so many times more in each round.
 MORE = 4
+#: Bytes of sets that a task gathers before it compares them, codes that it looks up at once, and nodes of a block of a large shard.
+SETS, LOOKED_UP, BLOCK = 32_000_000, 1_000_000, 20_000
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -302,97 +320,112 @@ def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
     return documents.select("text").mapInArrow(sets, "node binary, shingles array<bigint>")
 
 
-def _heads(ids: list[bytes]) -> np.ndarray:
-    """The first 64 bits of each id, which tell those of one task apart."""
-    return np.frombuffer(b"".join(i[:8] for i in ids), np.uint64)
-
-
-def candidates(nodes: DataFrame, radius: int, most: int) -> DataFrame:
-    """(u, v): for each node (node, fingerprint, keys, label, tried) the ``most`` nearest within the radius that have another label
-    and are not among ``tried``."""
-
-    def nearest(table: pa.Table) -> pa.RecordBatch:
-        raw, ids = table.column("fingerprint").to_pylist(), table.column("node").to_pylist()
-        prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
-        head, label = _heads(ids), _heads(table.column("label").to_pylist())
-        pair = lambda a, b: mixed(mixed(a, 1) + b, 2)
-        tried = table.column("tried").to_pylist()
-        seen = pair(np.repeat(head, [len(t) for t in tried]), _heads([i for t in tried for i in t]))
-        shard = table.column("shard").to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        size = np.diff(np.append(start, len(shard)))
-        root, size = np.repeat(start, size), np.repeat(size, size)
-        some = np.flatnonzero(size > 1)
-        left, right, apart = [], [], []
-        if len(some):
-            forest = Forest(prints, root)
-            part = np.cumsum(size[some]) // FRONTIER
-            for asked in np.split(some, np.flatnonzero(part[1:] != part[:-1]) + 1):
-                a, b = forest.links(asked, radius)
-                new = label[a] != label[b]
-                a, b = a[new], b[new]
-                if len(seen):
-                    new = ~np.isin(pair(head[a], head[b]), seen)
-                    a, b = a[new], b[new]
-                d = distance(forest.words, a, b)
-                order = np.lexsort((head[b], d, a))
-                a, b, d = a[order], b[order], d[order]
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
-                few = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < most
-                left += a[few].tolist()
-                right += b[few].tolist()
-                apart += d[few].tolist()
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in left], pa.binary()), pa.array([ids[i] for i in right], pa.binary()), pa.array(apart, pa.int32())], ["u", "v", "d"])
-
-    rows = sharded(nodes).repartition("shard").sortWithinPartitions("shard", "fingerprint")
-    found = rows.mapInArrow(whole_shards(nearest), "u binary, v binary, d int")
-    few = found.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "v"))), 1, most).alias("_f"))
-    return few.select("u", F.explode("_f.v").alias("v"))
+def groups(nodes: DataFrame, radius: int, largest: int = BLOCK) -> DataFrame:
+    """(shard, node, fingerprint): the nodes (node, fingerprint, keys) that links within the radius join in a shard, under a number of the
+    group.  Groups of the same nodes, as near copies have in most of their shards, are one."""
 
+    def done(table: pa.Table) -> pa.RecordBatch:
+        ids, raw = (table.column(c).to_pylist() for c in ("node", "fingerprint"))
+        label = shard_labels(bits_of(raw), table.column("shard").to_numpy(), radius)
+        more = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        # a number of the group's nodes in any order; groups that it doesn't tell apart would be compared as one
+        number = np.zeros(len(label), np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(number, label, mixed(np.frombuffer(b"".join(i[:8] for i in ids), np.uint64), 3))
+        made = [pa.array(number[label[more]].astype(np.int64)), *[pa.array([x[i] for i in more.tolist()], pa.binary()) for x in (ids, raw)]]
+        return pa.RecordBatch.from_arrays(made, ["shard", "node", "fingerprint"])
+
+    rows = sharded(nodes, largest).repartition("shard").sortWithinPartitions("shard", "fingerprint")
+    return rows.mapInArrow(whole_shards(done), "shard bigint, node binary, fingerprint binary").distinct()
+
+
+class Sets:
+    """Sets of shingles one behind the other, by small codes."""
+
+    def __init__(self, sets: pa.ListArray):
+        first = sets.offsets.to_numpy().astype(np.int64)
+        found, code = np.unique(sets.values.to_numpy()[first[0] : first[-1]], return_inverse=True)
+        self.code, self.start, self.size, self.mark = code.astype(np.int32), first[:-1] - first[0], np.diff(first), np.zeros(len(found), bool)
+
+    def alike(self, a: np.ndarray, b: np.ndarray, tenths: int) -> np.ndarray:
+        """Have the sets a and b, pairs sorted by a, a Jaccard similarity of at least so many tenths."""
+        out = np.zeros(len(a), bool)
+        # one of the sizes is too small, whatever the sets hold; with that, none is empty
+        n, m = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        left = np.flatnonzero((10 * n >= tenths * m) & (n > 0))
+        part = np.cumsum(self.size[b[left]]) // LOOKED_UP
+        cuts = np.flatnonzero((a[left][1:] != a[left][:-1]) | (part[1:] != part[:-1])) + 1
+        for k in np.split(left, cuts) if len(left) else []:
+            mine = self.code[self.start[a[k[0]]] : self.start[a[k[0]]] + self.size[a[k[0]]]]
+            self.mark[mine] = True
+            size = self.size[b[k]]
+            ahead = np.cumsum(size) - size
+            hit = self.mark[self.code[np.repeat(self.start[b[k]] - ahead, size) + np.arange(size.sum())]]
+            both = np.add.reduceat(hit.astype(np.int64), ahead)
+            out[k] = 10 * both >= tenths * (len(mine) + size - both)
+            self.mark[mine] = False
+        return out
+
+
+def similar_labels(prints: np.ndarray, shard: np.ndarray, sets: pa.ListArray, radius: int, tenths: int = TENTHS) -> np.ndarray:
+    """Of items sorted by shard: the least item that each reaches by pairs within the radius whose sets have a Jaccard similarity of at
+    least so many tenths.
+
+    An item looks at its nearest candidates of another label first, at four times as many in each further round, until every candidate is
+    looked at or has the same label.
+    """
+    root, size = roots_of(shard)
+    label, parts = np.arange(len(shard)), asked_parts(size)
+    if parts:
+        forest, held = Forest(prints, root), Sets(sets)
+    for asked in parts:
+        a, b = forest.links(asked, radius)
+        once = a > b  # the other way round, the pair comes with b
+        a, b = a[once], b[once]
+        order = np.lexsort((distance(forest.words, a, b), a))
+        a, b, most = a[order], b[order], 1
+        while len(a := a[new := label[a] != label[b]]):
+            b = b[new]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            few = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < most
+            yes = held.alike(a[few], b[few], tenths)
+            label = merge(label, a[few][yes], b[few][yes])
+            a, b, most = a[~few], b[~few], most * MORE
+    return label
+
+
+def similar_edges(grouped: DataFrame, radius: int) -> DataFrame:
+    """Of rows (shard, node, fingerprint, shingles): edges (u, v), u > v, whose components are those of all similar candidates.
+
+    A pair is compared where its group's rows meet, and a node sends on one edge at most, so pairs of a large group are never rows.
+    """
 
-def similar(pairs: DataFrame, sets: DataFrame, tenths: int = TENTHS) -> DataFrame:
-    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least so many tenths."""
-    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in ("u", "v"))
-    sized = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("_u", "_v")).alias("both"), (F.size("_u") + F.size("_v")).alias("all"))
-    return sized.filter(10 * F.col("both") >= tenths * (F.col("all") - F.col("both"))).select("u", "v")
-
+    def done(table: pa.Table) -> pa.RecordBatch:
+        ids = table.column("node").to_pylist()
+        sets = table.column("shingles").combine_chunks()
+        label = similar_labels(bits_of(table.column("fingerprint").to_pylist()), table.column("shard").to_numpy(), sets, radius)
+        pairs = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in enumerate(label.tolist()) if i != j]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-def apart(asked: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, _v): for both nodes of every pair (u, v) that was looked at and whose roots still differ, the other ones."""
-    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"_{n}")) for n in ("u", "v"))
-    placed = asked.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("_u", "u") != F.coalesce("_v", "v"))
-    both = placed.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("o")), F.struct(F.col("v").alias("node"), F.col("u").alias("o")))).alias("p"))
-    return both.select("p.node", "p.o").distinct().groupBy("node").agg(F.collect_list("o").alias("_v"))
+    rows = grouped.select("shard", "node", "fingerprint", "shingles").repartition("shard").sortWithinPartitions("shard", "node")
+    return rows.mapInArrow(whole_shards(done, lambda b: b.nbytes, SETS), "u binary, v binary").distinct()
 
 
 def near_copies(documents: DataFrame, shingle: int, radius: int, words: int, bands: tuple[int, int]) -> DataFrame:
     """doc_id, hash (of the text), root and component_id of every row: the component, and the smallest doc_id of all that pairs of a
     similarity of at least 0.8 reach from it.
 
-    Texts of the same shingles are one node.  In each round a node looks at its nearest candidates that no pair has joined it with
-    yet and that neither of the two has looked at, one in the first round and four times as many in each further one, until none is left.  So
-    every candidate is either checked or already in the same component, and the pairs of a large group are not all written out.
+    Texts of the same shingles are one node.  Nodes that are candidates of one another in a shard are a group; their sets are compared where
+    the group meets, until every candidate is either checked or already in the same component.
     """
     signed = settled(set_signatures(documents, shingle, words, bands))
     nodes = signed.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.min("doc_id").alias("id"))
-    left = nodes.select("node", "fingerprint", "keys", F.col("node").alias("label"), F.array().cast("array<binary>").alias("tried"))
-    sets, roots, most = None, None, 1
-    while True:
-        asked = settled(candidates(left, radius, most))
-        if asked.isEmpty():
-            break
-        mine = asked.select(F.col("u").alias("node")).distinct()
-        if sets is None:
-            ids = nodes.join(mine, "node", "left_semi").select(F.col("id").alias("doc_id"))
-            sets = written(shingle_sets(documents.join(ids, "doc_id", "left_semi"), shingle).join(mine, "node", "left_semi").dropDuplicates(["node"]), "shingles")
-        pairs = similar(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets)
-        pairs = settled(pairs)
-        if roots is None or not pairs.isEmpty():
-            roots = settled(components(pairs if roots is None else pairs.union(roots.filter("node > root"))))
-        left = left.drop("label").join(mine, "node", "left_semi").join(roots, "node", "left").join(apart(asked, roots), "node", "left")
-        tried = F.concat("tried", F.coalesce("_v", F.array().cast("array<binary>")))
-        left = settled(left.select("node", "fingerprint", "keys", F.coalesce("root", "node").alias("label"), tried.alias("tried")))
-        most *= MORE
+    found, roots = settled(groups(nodes.drop("id"), radius)), None
+    if not found.isEmpty():
+        mine = found.select("node").distinct()
+        ids = nodes.join(mine, "node", "left_semi").select(F.col("id").alias("doc_id"))
+        sets = written(shingle_sets(documents.join(ids, "doc_id", "left_semi"), shingle).join(mine, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        roots = components(similar_edges(found.join(sets, "node"), radius))
     placed = signed.select("doc_id", "hash", "node").withColumn("root", F.col("node"))
     if roots is not None:
         placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,8 +1,10 @@
 """Language id, tokens, pieces, packing, decontamination and SimHash against brute force, exact round trips or held-out rows."""
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -398,3 +400,44 @@ def test_near_copies_with_repeated_ids(spark):
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, near), (9, c)]
     kept = [(r.doc_id, r.text.split()) for r in simhash.one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()]
     assert sorted(k for k, _ in kept) == [3, 5, 9] and (3, a) in kept and (5, b) in kept
+
+
+def test_sets_of_a_shard_against_all_pairs():
+    rng = np.random.default_rng(8)
+    sets, shard = [], np.sort(rng.integers(0, 6, 150))
+    for s in shard:
+        base = np.arange(s * 100, s * 100 + 40)
+        sets.append(np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(1000, 1020, rng.integers(0, 4))])).astype(np.int64))
+    sets[3] = sets[3][:0]
+    prints = rng.integers(0, 1 << 20, (150, 1), dtype=np.uint64)
+    for radius in (8, 64):
+        label, want = simhash.similar_labels(prints, shard, pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), radius), [*range(150)]
+        for i in range(150):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if shard[i] == shard[j] and int(prints[i, 0] ^ prints[j, 0]).bit_count() <= radius and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((want[i], want[j]))
+                    want = [a if w == b else w for w in want]
+        assert label.tolist() == want and 6 < len(set(want)) < 150
+
+
+def test_pairs_of_a_large_group_are_not_rows(spark, tmp_path):
+    """Texts that are candidates of one another but not near copies: what is written grows with the texts, not with their pairs."""
+    rng, shared = random.Random(5), spark.sparkContext.getCheckpointDir()
+    words, texts = rng.choices(range(10**6), k=200), []
+    for n, places in enumerate(rng.sample([*itertools.combinations(range(1, 39), 4)], 600)):
+        w = list(words)
+        for k in places:  # similarities of at most 0.78
+            w[5 * k] = f"n{n}"
+        texts.append(" ".join(map(str, w)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = []
+    try:
+        for n in (150, 600):
+            spark.sparkContext.setCheckpointDir(str(tmp_path / str(n)))
+            found = simhash.near_copies(docs.filter(f"doc_id < {n}"), **simhash.NEAR)
+            assert found.filter("doc_id = component_id").count() == n
+            written.append(sum(f.stat().st_size for f in (tmp_path / str(n)).rglob("*") if f.is_file()))
+    finally:
+        spark.sparkContext.setCheckpointDir(shared.removeprefix("file:").rpartition("/")[0])
+    assert written[1] < 8 * written[0], written
