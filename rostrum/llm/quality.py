@@ -25,9 +25,9 @@ SYMBOLS = "#*$%&|<>"
 #: The number of buckets that n-grams are hashed into is the power of two from so many times the cube root of the corpus's bytes on:
 #: 2^14 at 0.5 GB, 2^20 at 100 TB.  The model is one number a bucket, so what the driver and each task hold grows that slowly.
 PER_ROOT = 16
-#: Trusted documents that are learned from, in expectation: a bounded sample of the labelled rows, so that their ids can be broadcast
-#: (some 5 MB) and no text is shuffled.  Counts of the corpus are of all documents.
-TRUSTED = 200_000
+#: Trusted ids that are broadcast at most (some 50 MB), so that no text is shuffled; beyond that the texts are shuffled once.  All trusted
+#: documents are learned from either way.
+BROADCAST = 2_000_000
 #: The least score kept lies under this share of the left-out trusted scores by this part of the way from their median to there.
 SHARE, MARGIN = 0.001, 0.5
 #: The least score where no trusted document is left out to learn it from.
@@ -90,18 +90,16 @@ def buckets_for(documents: DataFrame) -> int:
     return 1 << math.ceil(math.log2(max(64.0, PER_ROOT * size ** (1 / 3))))
 
 
-def trusted(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(_id, _out): about ``most`` of the trusted documents, by a hash of their ids, all if they are fewer; and whether they are left out of
-    the counts, as a quarter is."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """(_id, _out) of all trusted documents: whether they are left out of the counts, as a quarter is by a hash of their ids."""
     good = labels.filter((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)) & F.col("doc_id").isNotNull())
-    ids = good.select(F.col("doc_id").alias("_id")).distinct()
-    below = 2.0**64 * most / max(1, ids.count()) - 2.0**63
-    return ids.filter(F.xxhash64("_id") < F.lit(below)).withColumn("_out", F.crc32(F.col("_id").cast("string")) % 4 == 0)
+    return good.select(F.col("doc_id").alias("_id")).distinct().withColumn("_out", F.crc32(F.col("_id").cast("string")) % 4 == 0)
 
 
-def trusted_documents(documents: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(doc_id, text, _out) of the trusted documents, written once."""
-    good = F.broadcast(trusted(labels, most))
+def trusted_documents(documents: DataFrame, labels: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """(doc_id, text, _out) of all trusted documents, written once.  More than ``most`` ids are not broadcast."""
+    good = trusted(labels)
+    good = F.broadcast(good) if good.count() <= most else good.hint("shuffle_hash")
     return written(documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id")).drop("_id"), "trusted_texts")
 
 

@@ -248,3 +248,10 @@ def test_escape_is_reversible(spark, seed):
     texts = ["".join(rng.choice(["\\", "<", "|", "s>", "/s>", "[INST]", "[/INST]", "<|turn|>", "<<SYS>>", "a", "\n", "é"]) for _ in range(rng.randrange(12))) for _ in range(200)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"))
     assert all(r.t == r.u for r in df.collect())
+
+
+def test_quality_learns_from_all_trusted_documents(spark, pytestconfig):
+    docs, labels = (spark.read.parquet(f"{pytestconfig.DATA}/{t}.parquet") for t in ("documents", "labels"))
+    want = sorted(r.doc_id for r in docs.join(labels.filter("quality = 1 and coalesce(toxic, 0) <> 1"), "doc_id").select("doc_id").collect())
+    for most in (3, 1000):  # with and without a broadcast
+        assert len(want) > 20 and sorted(r.doc_id for r in quality.trusted_documents(docs, labels, most).collect()) == want
