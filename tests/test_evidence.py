@@ -62,3 +62,15 @@ def test_query_takes_every_document(spark, pytestconfig):
     assert any("\n" in docs[r.doc_id] for r in at) and any(not docs[r.doc_id].isascii() for r in at)
     assert any(r.start_offset > 1000 for r in at) and any(r.quote_no == 1 and docs[r.doc_id][r.start_offset : r.end_offset] != r.quote for r in at)
     assert all(r.status == "unmatched" for r in got if r.quote_no == 3)
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_few_quotes_are_searched_without_an_automaton(monkeypatch, few):
+    monkeypatch.setattr(evidence, "FEW", few)
+    if few:
+        monkeypatch.setattr(evidence.ahocorasick, "Automaton", None)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "b", "aa", "’", "–", "`", " ", "  ", "\n", "é"], k=rng.randrange(40)))
+        quotes = ["", *(text[a : a + 4] for a in rng.choices(range(len(text) + 1), k=6))]
+        assert evidence.resolved(text, quotes) == [plain(text, q) for q in quotes]

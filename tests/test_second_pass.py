@@ -150,3 +150,8 @@ def test_responses_hold_characters_beyond_latin(spark, tmp_path):
 def test_repairs_hold_characters_beyond_latin(spark, tmp_path):
     got, want = rows_of_both(spark, tmp_path, "repair_errors")
     assert got == want
+
+
+def test_artifact_verdicts_are_made_once(spark, pytestconfig):
+    plan = QUERIES["artifact_accounts"](spark, pytestconfig.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
