@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.storage import settled
@@ -133,25 +133,26 @@ def links(results: DataFrame, placed: DataFrame) -> DataFrame:
     """A row per campaign and record of results (campaign, record_id, status, validation_error, original_validation_error) with ``link``, how
     it follows from its source's row: ORIGINAL, CONSISTENT, or why it doesn't; and ``trusted``: the link and all those up to the root hold.
 
-    ``placed`` is of ``generations``.  A record that a campaign has twice has the status ``duplicate``.  Trust spreads from the originals
-    a generation a round, until none is reached.
+    ``placed`` is of ``generations``.  A record that a campaign has twice has the status ``duplicate``.  A record's rows under one root
+    meet once, where each finds its source's row and goes up from it, so the rows take no round a generation.  Each is given the group's rows
+    of campaigns that are sources, which are few however many recoveries end there.  A null record follows from nothing.
     """
     rows = single(results, "campaign", "record_id").select("campaign", "record_id", F.coalesce(F.col("_row.status"), F.when(F.col("n_rows") > 1, "duplicate"), F.lit("missing")).alias("status"), "_row.validation_error", "_row.original_validation_error")
-    rows = rows.join(placed, "campaign")
-    before = rows.select(F.col("campaign").alias("source"), "record_id", F.col("status").alias("_status"), F.col("validation_error").alias("_error"))
+    inner = placed.select(F.col("source").alias("campaign")).distinct().withColumn("_inner", F.lit(True))
+    # rows that cannot have a source's row are groups of their own
+    alone = F.when(F.col("root").isNull() | F.col("record_id").isNull(), F.col("campaign"))
+    group = Window.partitionBy("root", "record_id", "_alone").orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = rows.join(placed.join(inner, "campaign", "left"), "campaign").repartition("root", "record_id").withColumn("_alone", alone).withColumn("_met", F.collect_list(F.when(F.col("_inner"), F.struct("campaign", "status", "validation_error"))).over(group))
+    met = met.withColumn("_before", F.get("_met", F.array_position("_met.campaign", F.col("source")).cast("int") - 1))
     link = (
-        F.when(F.col("root").isNull(), "NO_ROOT").when(F.col("source").isNull(), F.when(F.col("status") == "duplicate", "DUPLICATE").otherwise("ORIGINAL")).when(F.col("_status").isNull(), "NOT_IN_SOURCE").when(F.col("_status") == "success", "ALREADY_RESOLVED")
-        .when((F.col("status") == "duplicate") | (F.col("_status") == "duplicate"), "DUPLICATE").when(~F.col("_error").eqNullSafe(F.col("original_validation_error")), "ERROR_DIFFERS").otherwise("CONSISTENT")
+        F.when(F.col("root").isNull(), "NO_ROOT").when(F.col("source").isNull(), F.when(F.col("status") == "duplicate", "DUPLICATE").otherwise("ORIGINAL")).when(F.col("_before").isNull(), "NOT_IN_SOURCE").when(F.col("_before.status") == "success", "ALREADY_RESOLVED")
+        .when((F.col("status") == "duplicate") | (F.col("_before.status") == "duplicate"), "DUPLICATE").when(~F.col("_before.validation_error").eqNullSafe(F.col("original_validation_error")), "ERROR_DIFFERS").otherwise("CONSISTENT")
     )
-    linked = settled(rows.join(before, ["source", "record_id"], "left").select("root", "record_id", "campaign", "source", "generation", "status", "validation_error", link.alias("link")))
-    reached, good, step = [], linked.filter("link = 'ORIGINAL'").select("campaign", "record_id"), 0
-    while not good.isEmpty():
-        reached.append(good)
-        step += 1
-        on = good.withColumnRenamed("campaign", "source")
-        good = settled(linked.filter((F.col("link") == "CONSISTENT") & (F.col("generation") == step)).join(on, ["source", "record_id"], "left_semi").select("campaign", "record_id"))
-    sure = reduce(DataFrame.union, reached, good).withColumn("_sure", F.lit(True))
-    return linked.join(sure, ["campaign", "record_id"], "left").withColumn("trusted", F.col("_sure").isNotNull()).drop("_sure")
+    kind, holds = rows.schema["campaign"].dataType, F.col("link").isin("ORIGINAL", "CONSISTENT")
+    linked = met.withColumn("link", link).withColumn("_source", F.col("source").cast(kind)).withColumn("_held", F.collect_list(F.when(F.col("_inner") & holds, F.struct("campaign", "_source"))).over(group))
+    # up from the row's source as long as links hold: beyond the root's row is null
+    top = F.aggregate("_held", F.col("_source"), lambda at, x: F.when(x["campaign"] == at, x["_source"]).otherwise(at))
+    return linked.select("campaign", "record_id", "root", "source", "generation", "status", "validation_error", "link", (holds & F.col("record_id").isNotNull() & top.isNull()).alias("trusted"))
 
 
 def effective(linked: DataFrame) -> DataFrame:

@@ -116,3 +116,26 @@ def test_chains(spark):
                 want[root, k] = (c, g, flat[c, k][0])
             assert old is not None
     assert {(r.root, r.record_id): (r.campaign, r.generation, r.status) for r in R.effective(linked).collect()} == want
+
+
+def chains_and_stars(spark, folder):
+    sources = {0: None, 50: 3} | {k: k - 1 for k in range(1, 13)} | {k: 0 for k in range(20, 45)}
+    rows = [(c, k, "invalid", f"e{c}", None if s is None else f"e{s}") for c, s in sources.items() for k in (1, 2, 3, None) if (c, k) not in ((5, 2), (0, 3))] + [(7, 1, "invalid", "e7", "e6")]
+    spark.createDataFrame(rows, "campaign int, record_id int, status string, validation_error string, original_validation_error string").write.parquet(f"{folder}/results")
+    return sources, R.links(spark.read.parquet(f"{folder}/results"), R.generations(spark.createDataFrame(list(sources.items()), "campaign int, source int")))
+
+
+def plan(df):
+    return str(df._jdf.queryExecution().executedPlan())
+
+
+def test_links_read_results_once_and_meet_once(spark, tmp_path):
+    """Long chains and wide trees are one plan, without rounds over the rows."""
+    sources, linked = chains_and_stars(spark, tmp_path)
+    assert plan(linked).count("FileScan") == 1 and plan(linked).count("Exchange hashpartitioning(root") == 1
+    rows = linked.collect()
+    got = {(r.campaign, r.record_id): (r.link, r.trusted) for r in rows}
+    assert len(got) == len(rows) == 4 * len(sources) - 2 and {c for (c, k), (_, t) in got.items() if k == 1 and not t} == set(range(7, 13)) and got[7, 1] == got[8, 1] == ("DUPLICATE", False) and got[9, 1] == ("CONSISTENT", False)
+    assert {c for (c, k), (_, t) in got.items() if k == 2 and t} == {0, 1, 2, 3, 4, 50, *range(20, 45)} and got[6, 2] == ("NOT_IN_SOURCE", False)
+    assert not any(t for (_, k), (_, t) in got.items() if k == 3) and got[1, 3] == got[20, 3] == ("NOT_IN_SOURCE", False) and got[50, 3] == ("CONSISTENT", False)
+    assert got[0, None] == ("ORIGINAL", False) and {got[c, None] for c in sources if c} == {("NOT_IN_SOURCE", False)}
