@@ -139,3 +139,10 @@ def test_links_read_results_once_and_meet_once(spark, tmp_path):
     assert {c for (c, k), (_, t) in got.items() if k == 2 and t} == {0, 1, 2, 3, 4, 50, *range(20, 45)} and got[6, 2] == ("NOT_IN_SOURCE", False)
     assert not any(t for (_, k), (_, t) in got.items() if k == 3) and got[1, 3] == got[20, 3] == ("NOT_IN_SOURCE", False) and got[50, 3] == ("CONSISTENT", False)
     assert got[0, None] == ("ORIGINAL", False) and {got[c, None] for c in sources if c} == {("NOT_IN_SOURCE", False)}
+
+
+def test_effective_rows_are_not_dealt_again(spark, tmp_path):
+    sources, linked = chains_and_stars(spark, tmp_path)
+    rows = R.effective(linked)
+    assert plan(rows).count("FileScan") == 1 and plan(rows).count("Exchange ") == plan(linked).count("Exchange ")
+    assert {r.record_id: (r.campaign, r.status, r.n_rows, r.n_distrusted) for r in rows.collect()} == {1: (0, "invalid", len(sources), 6), 2: (0, "invalid", len(sources) - 1, 7), 3: (None, "missing", len(sources) - 1, len(sources) - 1), None: (0, "invalid", len(sources), len(sources))}
