@@ -134,15 +134,22 @@ def links(results: DataFrame, placed: DataFrame) -> DataFrame:
     it follows from its source's row: ORIGINAL, CONSISTENT, or why it doesn't; and ``trusted``: the link and all those up to the root hold.
 
     ``placed`` is of ``generations``.  A record that a campaign has twice has the status ``duplicate``.  A record's rows under one root
-    meet once, where each finds its source's row and goes up from it, so the rows take no round a generation.  Each is given the group's rows
-    of campaigns that are sources, which are few however many recoveries end there.  A null record follows from nothing.
+    meet once, where copies are counted, each row finds its source's row and goes up from it, so the rows take no round a generation and are
+    sorted once.  Each is given the group's rows of campaigns that are sources, which are few however many recoveries end there.  A null
+    record follows from nothing.  Copies are not combined before they meet: however many, they are one task's stream.
     """
-    rows = single(results, "campaign", "record_id").select("campaign", "record_id", F.coalesce(F.col("_row.status"), F.when(F.col("n_rows") > 1, "duplicate"), F.lit("missing")).alias("status"), "_row.validation_error", "_row.original_validation_error")
     inner = placed.select(F.col("source").alias("campaign")).distinct().withColumn("_inner", F.lit(True))
     # rows that cannot have a source's row are groups of their own
     alone = F.when(F.col("root").isNull() | F.col("record_id").isNull(), F.col("campaign"))
-    group = Window.partitionBy("root", "record_id", "_alone").orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = rows.join(placed.join(inner, "campaign", "left"), "campaign").repartition("root", "record_id").withColumn("_alone", alone).withColumn("_met", F.collect_list(F.when(F.col("_inner"), F.struct("campaign", "status", "validation_error"))).over(group))
+    key = ("root", "record_id", "_alone", "_above", "campaign", "source", "_inner")
+    # no side is broadcast: the size of results on disk says little of their rows.  Campaigns are the side that is hashed, being the fewer
+    dealt = results.join(placed.join(inner, "campaign", "left").hint("shuffle_hash"), "campaign").repartition("root", "record_id").withColumn("_alone", alone).withColumn("_above", -F.col("generation"))
+    rows = single(dealt.select(*key, "status", "validation_error", "original_validation_error"), *key).select(
+        *key, (-F.col("_above")).alias("generation"), F.coalesce(F.col("_row.status"), F.when(F.col("n_rows") > 1, "duplicate"), F.lit("missing")).alias("status"), "_row.validation_error", "_row.original_validation_error"
+    )
+    # in the order that the groups of single have already
+    group = Window.partitionBy("root", "record_id", "_alone").orderBy("_above").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = rows.withColumn("_met", F.collect_list(F.when(F.col("_inner"), F.struct("campaign", "status", "validation_error"))).over(group))
     met = met.withColumn("_before", F.get("_met", F.array_position("_met.campaign", F.col("source")).cast("int") - 1))
     link = (
         F.when(F.col("root").isNull(), "NO_ROOT").when(F.col("source").isNull(), F.when(F.col("status") == "duplicate", "DUPLICATE").otherwise("ORIGINAL")).when(F.col("_before").isNull(), "NOT_IN_SOURCE").when(F.col("_before.status") == "success", "ALREADY_RESOLVED")

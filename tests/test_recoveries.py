@@ -146,3 +146,18 @@ def test_effective_rows_are_not_dealt_again(spark, tmp_path):
     rows = R.effective(linked)
     assert plan(rows).count("FileScan") == 1 and plan(rows).count("Exchange ") == plan(linked).count("Exchange ")
     assert {r.record_id: (r.campaign, r.status, r.n_rows, r.n_distrusted) for r in rows.collect()} == {1: (0, "invalid", len(sources), 6), 2: (0, "invalid", len(sources) - 1, 7), 3: (None, "missing", len(sources) - 1, len(sources) - 1), None: (0, "invalid", len(sources), len(sources))}
+
+
+def test_links_deal_results_twice_and_sort_them_once(spark, tmp_path):
+    """By campaign and by record, never broadcast for being small on disk; copies are counted where a record's rows meet, in the same order."""
+    _, linked = chains_and_stars(spark, tmp_path)
+    rows = spark.read.parquet(f"{tmp_path}/results")
+    for df in (linked, R.effective(linked)):
+        steps = [x.strip(" :+-") for x in plan(df).split("\n")]
+        at = next(i for i, x in enumerate(steps) if x.startswith("Exchange hashpartitioning(root"))
+        assert not any("Broadcast" in x for x in steps) and sum(x.startswith("Sort ") for x in steps[:at]) == 1 and sum(x.startswith("Window ") for x in steps[:at]) == 2
+        assert not any(x.startswith("Exchange hashpartitioning(campaign") and "record_id" in x for x in steps)
+    copies = rows.union(rows.filter("campaign = 3 and record_id = 2").crossJoin(spark.range(3000)).drop("id"))
+    placed = linked.select("campaign", "source", "root", "generation").distinct()
+    got = {(r.campaign, r.record_id): (r.status, r.validation_error, r.link, r.trusted) for r in R.links(copies, placed).collect()}
+    assert len(got) == linked.count() and got[3, 2] == ("duplicate", None, "DUPLICATE", False) and got[50, 2][2:] == got[4, 2][2:] == ("DUPLICATE", False) and got[2, 2] == ("invalid", "e2", "CONSISTENT", True)
