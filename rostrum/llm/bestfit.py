@@ -23,6 +23,7 @@ from struct import pack as pack_numbers
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,18 +32,22 @@ from pyspark.sql import functions as F
 from rostrum.llm.packing import best_fit_decreasing
 from rostrum.llm.storage import shared_path
 from rostrum.llm.tokens import load
-from rostrum.llm.worker import held
+from rostrum.llm.worker import give_back, held
 
 #: Tokens of a sequence and of a block; most sequences that a block opens; the id behind each document.
 LENGTH, BLOCK, OPEN, END = 2048, 4_000_000, 64, 0
 #: Characters of a stretch; words that a worker remembers, and the longest of them; rows of an output batch; stages of the rounding functions.
+#: TOGETHER: bytes of texts whose words are found at once.
 PART, REMEMBERED, LONGEST, BATCH, STAGES = 1 << 20, 1_000_000, 64, 512, 24
+TOGETHER = 1 << 22
 #: White space of the vocabulary's rules (a fixed value): Unicode's, without the four separators U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 UNUSUAL = re.compile("[\x1c-\x1f]")
 #: The rule that splits words (a fixed value), and the words for whose characters it and lower-casing agree with the library's at every code point.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[!-~\u00c0-\u024f]+")
+#: The same in Arrow: the rule, whose matches end at the added space, and a character that isn't plain, or that Arrow lower-cases differently (U+0130).
+CUT, NOT_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\pL\pN]+", "[^!-~\u00c0-\u012f\u0131-\u024f]"
 
 
 class Encoder(dict):
@@ -50,6 +55,9 @@ class Encoder(dict):
 
     The vocabulary's rules drop white space and never look across it, so a text's ids are those of its words, and words that repeat are
     encoded once.  Special strings are found inside words, as in whole texts: they hold no white space.
+
+    Many texts together are split by Arrow, their distinct plain words cut into pre-tokens, and only distinct pre-tokens and other words looked up.
+    A lower-case pre-token has the same ids as pre-token and as word, so both are remembered in one place.
     """
 
     def __init__(self, definition: str, part: int = PART):
@@ -61,6 +69,8 @@ class Encoder(dict):
 
     def ids(self, word: str) -> list[int]:
         """A word of plain characters goes to the library's model as pre-tokens, others to the library whole."""
+        if word.isascii() and word.isalpha():  # the usual word, sooner
+            return [t.id for t in self.model.tokenize(word.lower())]
         if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
             parts = PRETOKEN.findall(word.lower())
             if not word.isascii():
@@ -85,6 +95,44 @@ class Encoder(dict):
             at = cut.start() if cut else len(text)
         return b"".join(out)
 
+    def all(self, texts: pa.Array, together: int = TOGETHER) -> Iterator[bytes]:
+        """The ids of each text, in order.  Long texts, and those with separators that are no white space here, go by themselves."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        alone = (sizes > self.part) | pc.match_substring_regex(texts, UNUSUAL.pattern).to_numpy(zero_copy_only=False)
+        stops, ends, at = np.append(np.flatnonzero(alone), len(texts)), np.cumsum(sizes), 0
+        while at < len(texts):
+            if alone[at]:
+                yield self(texts[at].as_py())
+                at += 1
+                continue
+            full = np.searchsorted(ends, ends[at] - sizes[at] + together, "right")
+            to = int(min(max(full, at + 1), stops[np.searchsorted(stops, at)]))
+            lists = pc.utf8_split_whitespace(texts[at:to])
+            words = lists.flatten().dictionary_encode()
+            data, starts = _laid_out(self._words(words.dictionary).take(words.indices))
+            marks = starts[lists.offsets.to_numpy()].tolist()
+            yield from (bytes(data[a:b]) for a, b in zip(marks, marks[1:]))
+            at = to
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of words, looked up by distinct pre-token, or by word where one isn't plain."""
+        whole = pc.match_substring_regex(words, NOT_PLAIN)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(words, s))
+        cut = pc.if_else(whole, words, pc.replace_substring_regex(pc.utf8_lower(words), CUT, r"\0 "))
+        lists = pc.split_pattern(cut, " ")
+        parts = lists.flatten().dictionary_encode()
+        ids = pa.array(list(map(self.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary())
+        data, starts = _laid_out(ids.take(parts.indices))
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(starts[lists.offsets.to_numpy()]), pa.py_buffer(data)])
+
+
+def _laid_out(ids: pa.LargeBinaryArray) -> tuple[memoryview, np.ndarray]:
+    """All bytes, one after the other, and where each value starts, the end added."""
+    _, starts, data = ids.buffers()
+    return memoryview(data or b""), np.frombuffer(starts, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+
 
 def definition(path: str | None = None) -> str:
     if path is None:
@@ -169,6 +217,7 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, bl
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode, end = held("words", sent.value, lambda: Encoder(sent.value)), np.array([END], "<u4").tobytes()
         batches = iter(batches)
         if (ahead := next(batches, None)) is None:
@@ -176,8 +225,8 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, bl
 
         def pieces() -> Iterator[tuple]:
             for batch in (b for some in ([ahead], batches) for b in some):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = encode(text or "") + end
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.all(batch.column("text"))):
+                    ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
                         yield doc_id, p, at // 4, len(part) // 4, part

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,33 @@ def test_word_ids_are_the_librarys(spark, pytestconfig):
         assert encode(f"ab{chr(c)}cd") == np.array(library.encode(f"ab{chr(c)}cd", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize(("part", "together"), [(20, 1), (1 << 20, 1), (1 << 20, 500), (1 << 20, 1 << 22)])
+def test_texts_together_have_the_ids_of_each(spark, pytestconfig, part, together):
+    encode, library = bestfit.Encoder(bestfit.definition(), part), load(bestfit.definition())
+    texts = [t for _, t in ODD] + [r.text for r in spark.read.parquet(f"{pytestconfig.DATA}/documents.parquet").select("text").limit(60).collect()]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices(["a", "É", "İ", "Ⱥ", "×", "K", " ", "́", "'s", "'LL", "''t", "12", "<|endoftext|>", "<|ENDOFTEXT|>", "<|end", "\x1d", "\0", "ΑΣ", "!?", "…", "梦", "\xa0", "\n"], k=25)) for _ in range(300)]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert list(encode.all(pa.array(["left out", *texts], kind)[1:], together)) == want
+        assert list(encode.all(pa.array([], kind), together)) == [] and list(encode.all(pa.array([None, ""], kind), together)) == [b"", b""]
+
+
+def test_every_character_together():
+    encode, library = bestfit.Encoder(bestfit.definition()), load(bestfit.definition())
+    texts = [f"ab{c}cd a{c}1{c}B{c}{c}'ll-{c}'s" for c in map(chr, range(0x3100))]
+    assert list(encode.all(pa.array(texts))) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_of_the_same_pretokens_are_encoded_once(monkeypatch):
+    asked, ids = [], bestfit.Encoder.ids
+    monkeypatch.setattr(bestfit.Encoder, "ids", lambda self, word: asked.append(word) or ids(self, word))
+    encode = bestfit.Encoder(bestfit.definition())
+    texts = pa.array(["Über über. ÜBER, (über) über's", None, "ber über über! Über-ber"] * 50)
+    assert len(list(encode.all(texts))) == 150
+    assert len(asked) == len(set(asked)) and {"über", "ber", "'s"} <= set(asked) and not any("über" in w and w != "über" for w in map(str.lower, asked))
+
+
 def whole_packing(rows, texts, library, length):
     """Each document's pieces follow each other, each sequence is gapless and no longer than it may be; how many sequences there are."""
     seqs, docs = {}, {}
